@@ -95,11 +95,11 @@ def dangling_references(refs: DataFrame, parents: DataFrame, removed: DataFrame)
     References are first reduced to their distinct keys, so a key that a third of all rows
     refer to is matched once; the few dangling keys are then joined back.
     """
-    refs = refs.filter(F.col("key").isNotNull())
+    refs = refs.drop("reason").filter(F.col("key").isNotNull())
     keys = refs.groupBy("target", "key").agg(F.min("own_time").alias("since"))
-    bad = verdicts(keys, parent_runs(parent_state(parents, removed)))
+    bad = verdicts(keys, parent_runs(parent_state(parents, removed))).withColumnRenamed("arrived", "_arrived")
     late = F.col("reason") == "late"
-    return refs.join(bad, ["target", "key"]).filter(~late | (F.col("own_time") < F.col("arrived"))).drop("arrived")
+    return refs.join(bad, ["target", "key"]).filter(~late | (F.col("own_time") < F.col("_arrived"))).drop("_arrived")
 
 
 def reference_rows(table: DataFrame, ref_table: str, id_column: str, time_column: str, fields: dict[str, str]) -> DataFrame:

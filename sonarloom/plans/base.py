@@ -57,3 +57,20 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 SIGNALS = "s AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)\n"
+
+
+def registry():
+    """(QUERIES, SQL, decorator) of one module; the decorator takes the SQL that checks the query."""
+    queries: dict = {}
+    sqls: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, sqls, query
