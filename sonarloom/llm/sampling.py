@@ -50,6 +50,8 @@ def seats(available: list[int], shares: list[float], floors: list[int], size: in
 
 def memberships(files: DataFrame, fields: list[str]) -> DataFrame:
     """Distinct category_field, category (compared form, lower case), file_id. Null categories and ids are out."""
+    if not fields:
+        return files.sparkSession.createDataFrame([], "file_id string, category_field string, category string")
     each = F.inline(F.array(*[F.struct(F.lit(f).alias("category_field"), F.lower(compared(F.col(f))).alias("category")) for f in fields]))
     return files.select(compared(F.col("file_id")).alias("file_id"), each).filter("category is not null and file_id is not null").distinct()
 
@@ -61,8 +63,9 @@ def proportional_sample(files: DataFrame, targets: DataFrame, share: float = 0.2
     rows has it (case ignored), and once. sample: category_field, category, file_id, rank, priority.
     report, a row for each target: available, needed (the larger of min_files and target_share x
     share x files), drawn, drawn_share, met (available reaches needed). Categories without target are
-    not drawn. No files: empty sample, and every target that asks for any is unmet.
+    not drawn; a null target_share or min_files is 0. No files: empty sample, and every target that asks for any is unmet.
     """
+    targets = targets.fillna(0, ["target_share", "min_files"]).filter("category_field is not null")
     wanted = targets.select("category_field", F.col("category").alias("written"), F.lower(compared(F.col("category"))).alias("category"), "target_share", "min_files")
     fields = sorted(r[0] for r in targets.select("category_field").distinct().collect())
     members = cut(memberships(files, fields), "members")

@@ -63,13 +63,14 @@ def assign_splits(rows: DataFrame, targets: DataFrame, seed: int = 1, giant: flo
     rows: as manifest_rows gives. Songs are joined by a common file_id and by song and folder of one
     row. songs: song, component, new_split. components: component, weight (distinct files), new_split.
     Components, in random order, take the stretches of the total weight that the targets cut; a component
-    goes where its middle falls. Those over `giant` of the weight come first, under the largest
-    share, where the many small ones after them can still even out the shares.
+    goes where its middle falls. Those over `giant` of the weight come first, the heaviest at the head of
+    the largest share, where the many small ones after them can still even out the shares. A null file_id joins nothing.
     """
     rows = rows.select("file_id", "song", "folder")
-    firsts = cut(rows.groupBy("file_id").agg(F.min("song").alias("song")), "firsts")
-    mixed = rows.groupBy("file_id").agg(F.min("song").alias("a"), F.max("song").alias("z")).filter(F.col("a") != F.col("z"))
-    by_file = rows.join(mixed.select("file_id", "a"), "file_id").select("a", F.col("song").alias("b"))
+    named = rows.filter(F.col("file_id").isNotNull())
+    firsts = cut(named.groupBy("file_id").agg(F.min("song").alias("song")), "firsts")
+    mixed = named.groupBy("file_id").agg(F.min("song").alias("a"), F.max("song").alias("z")).filter(F.col("a") != F.col("z"))
+    by_file = named.join(mixed.select("file_id", "a"), "file_id").select("a", F.col("song").alias("b"))
     by_folder = rows.filter(F.col("folder") != F.col("song")).select(F.col("song").alias("a"), F.col("folder").alias("b"))
     labels = cut(components(by_file.unionByName(by_folder), seed), "components")
     by_song = firsts.groupBy("song").agg(F.count("*").alias("files"))
@@ -78,7 +79,7 @@ def assign_splits(rows: DataFrame, targets: DataFrame, seed: int = 1, giant: flo
     weights = songs.groupBy("component").agg(F.sum("files").alias("weight"))
     total, n = songs.agg(F.coalesce(F.sum("files"), F.lit(0)), F.count("*")).head()
     u = uniform(seed, "component")
-    ordered = weights.withColumn("_u", F.when(F.col("weight") > giant * total, u * 1e-6).otherwise(1e-6 + u * (1 - 1e-6)))
+    ordered = weights.withColumn("_u", F.when(F.col("weight") > giant * total, 1e-6 * (1 - F.col("weight") / (total + 1))).otherwise(1e-6 + u * (1 - 1e-6)))
     placed = running_sum(ordered, [], "_u", ["component"], F.col("weight"), "_before", rows=n)
     cuts, upto = [], 0.0
     for r in targets.select("split", "target_share").orderBy(F.desc("target_share"), "split").collect():
