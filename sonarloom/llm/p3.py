@@ -18,27 +18,39 @@ def _key(column: str) -> Column:
 
 
 def _durations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_manifest").select(_key("dataset").alias("dataset"), _key("stem_group").alias("stem_group"), "out_duration")
+    return table(spark, d, "source_manifest").select(_key("dataset").alias("dataset"), _key("stem_group").alias("stem_group"), F.date_format("ingested_at", "yyyy-MM").alias("period"), "out_duration")
 
 
 def _activity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "activity_summary").select(F.lit("").alias("dataset"), _key("stem_group").alias("stem_group"), "scan_date", "seg_p50_s", "gap_p95_s")
+    return table(spark, d, "activity_summary").select(F.lit("").alias("dataset"), _key("stem_group").alias("stem_group"), F.col("scan_date").cast("string").alias("period"), "seg_p50_s", "gap_p95_s")
 
 
-def _all(spark: SparkSession, d: str) -> DataFrame:
-    activity = sketches(_activity(spark, d), GROUP, {"seg_p50_s": F.col("seg_p50_s"), "gap_p95_s": F.col("gap_p95_s")})
-    return sketches(_durations(spark, d), GROUP, {"out_duration": F.col("out_duration")}).unionByName(activity)
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """The sketches that are kept: per day of the summary, per month of ingestion."""
+    periods = ["period", *GROUP]
+    activity = sketches(_activity(spark, d), periods, {"seg_p50_s": F.col("seg_p50_s"), "gap_p95_s": F.col("gap_p95_s")})
+    return cut(sketches(_durations(spark, d), periods, {"out_duration": F.col("out_duration")}).unionByName(activity), "kept")
+
+
+def _whole(kept: DataFrame) -> DataFrame:
+    """The sketches of the whole, combined from those of the periods."""
+    return merge_sketches(kept.withColumn("slot", F.pmod(F.xxhash64("period"), F.lit(1024)).cast("int")).drop("period"), GROUP)
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """p25, p50, p75, p95 of out_duration per dataset and stem group, of seg_p50_s and gap_p95_s per stem group."""
-    return percentiles(_all(spark, d), GROUP, SHARES)
+    """p25, p50, p75, p95 of out_duration per dataset and stem group, of seg_p50_s and gap_p95_s per stem group.
+
+    For each day or month by itself, and, with a null period, for the whole, combined from these.
+    """
+    kept = _kept(spark, d)
+    whole = percentiles(_whole(kept), GROUP, SHARES).withColumn("period", F.lit(None).cast("string"))
+    return percentiles(kept, ["period", *GROUP], SHARES).unionByName(whole)
 
 
 def p3_within_bound(spark: SparkSession, d: str) -> DataFrame:
     """For each percentile: values counted, and whether its rank is within the stated bound of the exact one."""
     # The answers, a few per group, go to the rows; each row counts below and at them.
-    answers = cut(p3_percentiles(spark, d), "percentiles").groupBy(*GROUP, "measure").agg(F.collect_list(F.struct("share", "n", "value", "rank_error")).alias("asked"))
+    answers = cut(percentiles(_whole(_kept(spark, d)), GROUP, SHARES), "percentiles").groupBy(*GROUP, "measure").agg(F.collect_list(F.struct("share", "n", "value", "rank_error")).alias("asked"))
     cell = F.struct
     durations = _durations(spark, d).select(*GROUP, F.lit("out_duration").alias("measure"), F.col("out_duration").alias("x"))
     activity = _activity(spark, d).select(*GROUP, F.inline(F.array(cell(F.lit("seg_p50_s").alias("measure"), F.col("seg_p50_s").alias("x")), cell(F.lit("gap_p95_s").alias("measure"), F.col("gap_p95_s").alias("x")))))
@@ -54,16 +66,9 @@ def p3_within_bound(spark: SparkSession, d: str) -> DataFrame:
     return counted.select(*GROUP, "measure", "share", F.col("counted").alias("n_values"), good.alias("within_bound"))
 
 
-def p3_days_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches kept per day, combined: the percentiles of the whole, with the days' errors in the bound."""
-    days = cut(sketches(_activity(spark, d), ["scan_date", "stem_group"], {"seg_p50_s": F.col("seg_p50_s"), "gap_p95_s": F.col("gap_p95_s")}), "days")
-    combined = merge_sketches(days.withColumn("slot", F.pmod(F.xxhash64("scan_date"), F.lit(1024)).cast("int")).drop("scan_date"), ["stem_group"])
-    return percentiles(combined, ["stem_group"], SHARES)
-
-
 _SUMMARY = f"SELECT '' AS dataset, lower({compared_sql('stem_group')}) AS stem_group, '{{0}}' AS measure, {{0}} AS x FROM activity_summary"
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_within_bound": p3_within_bound, "p3_days_combined": p3_days_combined}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_within_bound": p3_within_bound}
 SQL = {
     "p3_within_bound": f"""
 WITH v AS (

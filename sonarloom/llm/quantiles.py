@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUFFERS, SIZE = 10, 1024
+STATE_COLUMNS = ["n", "error", "weights", "values"]
 STATE = "n long, error double, weights array<double>, values array<array<double>>"
 
 
@@ -122,24 +123,39 @@ def sketches(df: DataFrame, group: list[str], values: dict[str, Column], size: i
 def merge_sketches(parts: DataFrame, group: list[str], size: int = SIZE) -> DataFrame:
     """Merge sketches (of partitions, days, file sets) into one per group and measure.
 
-    group: the columns to keep apart. With a slot column, sketches merge first per slot: a tree.
+    group: the columns to keep apart. With a slot column, sketches merge per slot first: a tree, so that
+    no task takes more of one group than the sketches of a slot.
     """
-    fields = "".join(f"{g} string, " for g in group)
+    if "slot" in parts.columns:
+        parts = _merged(parts.withColumn("slot", F.col("slot") % 32), [*group, "measure", "slot"], size).drop("slot")
+    return _merged(parts.select(*group, "measure", *STATE_COLUMNS), [*group, "measure"], size)
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        sketch = Sketch(size)
-        for row in frame.sort_values(["n", "error"]).itertuples():
-            sketch.merge(row.n, row.error, row.weights, row.values_)
-        keep = [*group, "measure", *(["slot"] if "slot" in frame else [])]
-        return pd.DataFrame([{k: frame[k].iloc[0] for k in keep} | sketch.state()])
 
-    def named(frame: pd.DataFrame) -> pd.DataFrame:
-        return merge(frame.rename(columns={"values": "values_"}))
+def _merged(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """One sketch per key. Rows come sorted by key, so a task holds one sketch at a time."""
 
-    if "slot" in parts.columns:
-        slotted = parts.withColumn("slot", F.col("slot") % 32)
-        parts = slotted.groupBy(*group, "measure", "slot").applyInPandas(named, f"{fields}measure string, slot int, {STATE}").drop("slot")
-    return parts.groupBy(*group, "measure").applyInPandas(named, f"{fields}measure string, {STATE}")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, sketch, out = None, None, []
+        for frame in frames:
+            cells = [frame[k].astype(object).where(frame[k].notna(), None) for k in keys]
+            for key, n, error, weights, values in zip(zip(*cells), frame["n"], frame["error"], frame["weights"], frame["values"]):
+                if key != open_key or sketch is None:
+                    if sketch is not None:
+                        out.append(dict(zip(keys, open_key)) | sketch.state())
+                    open_key, sketch = key, Sketch(size)
+                sketch.merge(n, error, weights, values)
+            if len(out) >= 256:
+                yield pd.DataFrame(out)
+                out = []
+        if sketch is not None:
+            out.append(dict(zip(keys, open_key)) | sketch.state())
+        if out:
+            yield pd.DataFrame(out)
+
+    fields = ", ".join(f"{k} int" if k == "slot" else f"{k} string" for k in keys)
+    # Sketches of one key merge in one order, whatever order they arrive in.
+    ordered = parts.select(*keys, *STATE_COLUMNS).repartition(*keys).sortWithinPartitions(*keys, "n", "error", "values")
+    return ordered.mapInPandas(run, f"{fields}, {STATE}")
 
 
 def percentiles(merged: DataFrame, group: list[str], shares: list[float], size: int = SIZE) -> DataFrame:
