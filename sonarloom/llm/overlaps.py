@@ -60,6 +60,8 @@ def _shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, side, levels) -> a row for each band and bucket: one for train, every probe for eval."""
     for batch in rows:
         n = batch.num_rows
+        if not n:
+            continue
         levels = batch.column(2).values.to_numpy(zero_copy_only=False).astype(np.float64)[batch.column(2).offsets.to_numpy()[0] :].reshape(-1, LEVELS)[:n]
         evaluated = np.array(batch.column(1).to_pylist()) == "eval"
         picks, buckets = [], []
@@ -146,9 +148,14 @@ def near_classes(classes: DataFrame) -> DataFrame:
     tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingled.count() // ROWS))
     # A bucket that many training excerpts share is cut into salted parts; its probes go to each.
     crowded = shingled.filter(~F.col("evaluated")).groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
-    salted = shingled.join(crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salts = F.when(F.col("evaluated"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")))
-    spread = salted.select("bucket", "class", "evaluated", "levels", F.explode(salts).alias("salt"))
+    crowded = cut(crowded, "crowded")
+    n = crowded.count()  # at most a bucket for HOT rows
+    if n:
+        salted = shingled.join(F.broadcast(crowded) if n < 100_000 else crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        salts = F.when(F.col("evaluated"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")))
+        spread = salted.select("bucket", "class", "evaluated", "levels", F.explode(salts).alias("salt"))
+    else:
+        spread = shingled.withColumn("salt", F.lit(0))
     return spread.repartition(tasks, "bucket", "salt").mapInArrow(_verified, "a long, b long").distinct()
 
 
