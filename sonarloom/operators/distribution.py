@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarloom.session import cut
+
 
 def ks_two_sample(values: DataFrame) -> DataFrame:
     """values: first (boolean), x. One row: statistic, p_value (asymptotic), n_a, n_b. Null x is ignored.
@@ -14,7 +16,8 @@ def ks_two_sample(values: DataFrame) -> DataFrame:
     """
     counts = values.filter(F.col("x").isNotNull()).groupBy("x").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b"))
     # One sort by ranges of x: each partition is a stretch, numbered in order of x.
-    stretches = counts.repartitionByRange("x").withColumn("_p", F.spark_partition_id())
+    # Written, as the bounds of a range partitioning are sampled anew each time it is run.
+    stretches = cut(counts.repartitionByRange("x").withColumn("_p", F.spark_partition_id()), "stretches")
     sums = stretches.groupBy("_p").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     before = Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     offsets = sums.select("_p", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("ob"))

@@ -13,6 +13,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarloom.session import cut
+
 BUCKET = 50_000
 
 
@@ -46,3 +48,20 @@ def random_rank(df: DataFrame, group: list[str], key: list[str], seed: int, rank
     """Adds `rank`: 1, 2, ... in a random order within the group that depends on seed and key only."""
     ordered = df.withColumn("_u", uniform(seed, *key))
     return running_sum(ordered, group, "_u", key, F.lit(1), "_before", rows).withColumn(rank, F.col("_before") + 1).drop("_u", "_before")
+
+
+def ordered_rank(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank", total: str | None = None) -> DataFrame:
+    """Adds `rank` (1, 2, ...) by order within the group, and its size as `total`, for groups of any size.
+
+    Rows are ranged by (group, order) and written; each stretch counts its rows, the small counts are
+    accumulated, and only the order within a stretch is a window. Order should end in a key.
+    """
+    # Written, as the bounds of a range partitioning are sampled anew each time it is run.
+    ranged = cut(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
+    across = Window.partitionBy(*group)
+    before = counts.select(*group, "_p", F.coalesce(F.sum("_c").over(across.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_c").over(across).alias("_n"))
+    within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order)))
+    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_p"]])
+    sizes = [F.col("r._n").alias(total)] if total else []
+    return within.alias("l").join(before.alias("r"), same).select("l.*", (F.col("l._r") + F.col("r._o")).alias(rank), *sizes).drop("_p", "_r")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from sonarloom.functions.text import nfc
 
 
-def channel_action(channels: Column, lr_corr: Column, lr_identical: Column, dual: float = 0.9999, anti: float = -0.5) -> Column:
+# Correlations from which two channels count as one, alike or opposite.
+DUAL_MONO, ANTI_PHASE = 0.9999, -0.5
+
+
+def channel_action(channels: Column, lr_corr: Column, lr_identical: Column, dual: float = DUAL_MONO, anti: float = ANTI_PHASE) -> Column:
     """keep_mono, pick_channel (both channels alike or opposite) or keep_stereo. A null or NaN correlation counts as 0."""
     corr = F.coalesce(F.when(F.abs(lr_corr) < float("inf"), lr_corr), F.lit(0.0))
     alike = F.coalesce(lr_identical, F.lit(False)) | (corr >= dual)

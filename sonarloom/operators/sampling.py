@@ -41,7 +41,11 @@ def weighted_draw(draws: DataFrame, u: str, choices: DataFrame, value: str, weig
     return draws.join(rows).withColumn(value, F.get(hit, F.lit(0))[value]).drop("_s")
 
 
-def matched_gain(required_db: Column, source_db: Column, low: float = -20.0, high: float = 25.0, least: float = -70.0) -> Column:
+# The clamp of a gain and the least measurable level, in dB.
+MIN_GAIN_DB, MAX_GAIN_DB, MIN_SOURCE_DB = -20.0, 25.0, -70.0
+
+
+def matched_gain(required_db: Column, source_db: Column, low: float = MIN_GAIN_DB, high: float = MAX_GAIN_DB, least: float = MIN_SOURCE_DB) -> Column:
     """Linear gain of a required change in dB, clamped; null where the source cannot be measured."""
     measurable = (F.abs(source_db) < float("inf")) & (source_db >= least)
     return F.when(measurable, F.pow(F.lit(10.0), F.greatest(F.lit(low), F.least(F.lit(high), required_db)) / 20))
@@ -54,6 +58,7 @@ def excerpt_start(anchor_s: Column, back: Column, window_s: float, rate: int, fr
     return F.greatest(F.lit(0), F.least(wanted, F.greatest(F.lit(0), frames - chunk)))
 
 
+# Settings that are named but do nothing yet.
 RESERVED = ("coherent_mix_prob", "multi_sample", "pitch_pool_manifest", "draw_unit")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 class SegmentRules:
     """Levels in dB, lengths in blocks."""
 
+    # The default thresholds and lengths.
     open_db: float = -60.0
     close_db: float = -70.0
     min_gap: int = 4

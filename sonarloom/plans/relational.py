@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,15 @@ def regexp_strip_digits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_manifest").filter(raw.isNotNull()).select("instrument_raw", F.regexp_replace(raw, r"\d+$", "").alias("base"), F.element_at(F.split(raw, "_"), -1).alias("tail")).distinct()
 
 
+@query(f"SELECT file_id, {compared_sql('dataset')} AS dataset, role FROM source_manifest WHERE ({compared_sql('dataset')} = '71470' AND role = 'clip') OR ({compared_sql('dataset')} = '71955' AND role = 'stem')")
+def pool_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A disjunction of (dataset, role) pairs, pushed to the scan as far as it goes."""
+    pairs = {"71470": "clip", "71955": "stem"}
+    wanted = reduce(or_, [(F.col("dataset") == name) & (F.col("role") == role) for name, role in pairs.items()])
+    m = table(spark, d, "source_manifest").filter(F.col("role").isin(*pairs.values()))
+    return m.select("file_id", compared(F.col("dataset")).alias("dataset"), "role").filter(wanted)
+
+
 @query("SELECT count(*) FILTER (dead IS TRUE) AS dead, count(*) FILTER (dead IS NOT TRUE) AS not_dead, count(*) FILTER (dead IS NULL) AS unknown, count(*) FILTER (coalesce(error, '') <> '') AS errors FROM source_manifest")
 def three_state_boolean(spark: SparkSession, d: str) -> DataFrame:
     dead = F.col("dead").eqNullSafe(F.lit(True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarloom.functions import signal as sig
 from sonarloom.operators.distribution import gaussian_log_odds, ks_two_sample as ks
+from sonarloom.operators.prefix import ordered_rank
 from sonarloom.operators.sequence import loudest_window as loudest
 from sonarloom.plans.base import SIGNALS, registry, signals
 from sonarloom.session import table
@@ -131,12 +132,15 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return q.select("path", "dataset", "role", F.col("peak").alias("p"), (20 * F.log10("rms")).alias("r"), "checked_at")
 
 
-@query(_GAUSS + f"SELECT path, checked_at, round(({_LOGP.format('a')}) - ({_LOGP.format('b')}), 4) + 0.0::DOUBLE AS log_odds FROM q, a, b")
+@query(_GAUSS + f"""SELECT path, checked_at, log_odds, row_number() OVER (PARTITION BY dataset ORDER BY log_odds DESC, path, checked_at, r) AS rank_in_dataset, count(*) OVER (PARTITION BY dataset) AS sources_in_dataset
+FROM (SELECT path, checked_at, dataset, r, round(({_LOGP.format('a')}) - ({_LOGP.format('b')}), 4) + 0.0::DOUBLE AS log_odds FROM q, a, b)""")
 def gaussian_log_odds_rank(spark: SparkSession, d: str) -> DataFrame:
     """How much more a file's level and peak look like a master's than like a stem's. A ranking, not a verdict."""
     q = _measured(spark, d)
     scored = gaussian_log_odds(q, q.filter("role = 'master'"), q.filter("role = 'stem'"), "p", "r")
-    return scored.select("path", "checked_at", (F.round("log_odds", 4) + F.lit(0.0)).alias("log_odds"))
+    shown = scored.select("path", "checked_at", "dataset", "r", (F.round("log_odds", 4) + F.lit(0.0)).alias("log_odds"))
+    ranked = ordered_rank(shown, ["dataset"], [F.desc("log_odds"), F.asc("path"), F.asc("checked_at"), F.asc("r")], "rank_in_dataset", "sources_in_dataset")
+    return ranked.select("path", "checked_at", "log_odds", "rank_in_dataset", "sources_in_dataset")
 
 
 @query(_GAUSS + """SELECT role, round(avg(CASE WHEN ((p - a.mp) ^ 2 * a.vr - 2 * (p - a.mp) * (r - a.mr) * a.c + (r - a.mr) ^ 2 * a.vp) / (a.vp * a.vr - a.c * a.c) <= 5.991 THEN 1.0 ELSE 0.0 END), 4) AS inside FROM q, a GROUP BY role""")
