@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarloom.functions.text import compared_sql
-from sonarloom.llm.sampling import proportional_sample
+from sonarloom.llm.sampling import joint_sample, proportional_sample
 from sonarloom.session import table
 
 
@@ -24,9 +24,22 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return proportional_sample(table(spark, d, "source_manifest"), table(spark, d, "sample_targets"))[0]
 
 
+def _joint(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return joint_sample(table(spark, d, "source_manifest"), table(spark, d, "sample_targets"), latest="ingested_at")
+
+
+def p4_joint_sample(spark: SparkSession, d: str) -> DataFrame:
+    """One sample that matches the shares of all fields at once."""
+    return _joint(spark, d)[0].select("file_id", F.array_join("cell", "/").alias("cell"), "rank")
+
+
+def p4_joint_report(spark: SparkSession, d: str) -> DataFrame:
+    return _joint(spark, d)[1]
+
+
 _FIELDS = " UNION ALL ".join(f"SELECT '{f}' AS category_field, lower({compared_sql(f)}) AS category, {compared_sql('file_id')} AS file_id FROM source_manifest" for f in ("stem_group", "dataset", "genre_sub"))
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p4_joint_sample": p4_joint_sample, "p4_joint_report": p4_joint_report}
 SQL = {
     "p4_found": f"""
 WITH m AS ({_FIELDS}), n AS (SELECT count(DISTINCT {compared_sql('file_id')}) AS files FROM source_manifest),

@@ -1,6 +1,6 @@
 import random
 
-from sonarloom.llm.sampling import proportional_sample, seats
+from sonarloom.llm.sampling import fitted, joint_sample, proportional_sample, refilled, seats
 
 FILES = "file_id string, kind string, area string, category string, rank int"
 TARGETS = "category_field string, category string, target_share double, min_files int, seats int"
@@ -45,3 +45,34 @@ def test_empty(spark):
     sample, report = proportional_sample(files, targets)
     assert sample.count() == 0 and [r["met"] for r in report.collect()] == [False]
     assert proportional_sample(files, targets.limit(0))[1].count() == 0
+
+
+def test_fit_reaches_all_margins():
+    cells, have = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], [100, 10, 40, 80]
+    x = fitted(cells, have, [{"a": 30.0, "b": 30.0}, {"x": 20.0, "y": 40.0}])
+    assert abs(x[0] + x[1] - 30) < 0.2 and abs(x[0] + x[2] - 20) < 0.2 and all(v <= h for v, h in zip(x, have))
+    assert abs(fitted(cells, have, [{"a": 200.0}, {}])[:2].sum() - 110) < 0.01
+
+
+def test_refill():
+    assert refilled({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 100, "c": 100}, {"a": 1, "b": 1, "c": 1}, 60) == {"a": 10.0, "b": 30.0, "c": 20.0}
+    assert refilled({"a": 0.9, "b": 0.1, "z": 0.0}, {"a": 100, "b": 100, "z": 5}, {"a": 1, "b": 8, "z": 2}, 20) == {"a": 10.0, "b": 8.0, "z": 2.0}
+    assert refilled({"a": 0.5}, {"a": 3}, {"a": 9}, 60) == {"a": 3.0} and refilled({}, {}, {}, 5) == {}
+
+
+def test_joint_sample(spark):
+    rng = random.Random(8)
+    rows = [(f"f{i}", rng.choice(["a", "A ", "b"]), rng.choice(["x", "y", "y", "Y"]), "clash", i) for i in range(600)]
+    rows += [("f1", "b", "x", "clash", -1), ("n1", None, "x", "c", 1), ("n2", "other", "x", "c", 1), (None, "a", "x", "c", 1)] + rows[:50]
+    targets = [("kind", "A", 0.3, 5, 0), ("kind", "b", 0.7, 5, 0), ("area", "x", 0.5, 5, 0), ("area", "y", 0.5, 5, 0), ("area", "gone", 0.0, 2, 0), (None, "z", 1.0, 1, 0)]
+    sample, report = joint_sample(spark.createDataFrame(rows, FILES), spark.createDataFrame(targets, TARGETS), 0.2, 3, latest="rank")
+    got = {r["category"]: r for r in report.collect()}
+    assert {k: r["met"] for k, r in got.items()} == {"A": True, "b": True, "x": True, "y": True, "gone": False}
+    drawn = sample.collect()
+    assert len(drawn) == len({r["file_id"] for r in drawn}) == 120
+    for c, f, share in (("A", 1, 0.3), ("b", 1, 0.7), ("x", 0, 0.5), ("y", 0, 0.5)):
+        n = sum(r["cell"][f] == c.lower() for r in drawn)
+        assert n == got[c]["drawn"] and abs(n / 120 - share) < 0.02
+    files = spark.createDataFrame([], FILES)
+    assert joint_sample(files, spark.createDataFrame(targets, TARGETS))[0].count() == 0
+    assert joint_sample(files, spark.createDataFrame([], TARGETS))[1].count() == 0
