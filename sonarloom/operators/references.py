@@ -15,40 +15,42 @@ from pyspark.sql import functions as F
 
 from sonarloom.functions.text import compared
 
-#: Numbers per block: bounds the rows of one window group and the length of a run's array.
+#: Numbers per block, a power of 2: bounds the rows of one window group and the length of a run's array.
 BLOCK = 1024
 _MARK, _WHOLE = "\x01", "\x02"
 
 
-def split_key(key: Column) -> tuple[Column, Column]:
-    """(template, number): together they give back the key, so equal pairs mean equal keys.
+def _digits(key: Column) -> Column:
+    """The first of a key's longest runs of digits, by class of length; null where there is none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(key, pattern, 1), F.lit("")) for pattern in ("([0-9]{6,18})", "([0-9]{3,5})", "([0-9]{1,2})")])
 
-    Up to 18 digits make a number. Keys without digits, or with the marks themselves, stay whole as a template with number 0.
-    """
-    runs = F.regexp_extract_all(key, F.lit(r"([0-9]{1,18})"), F.lit(1))
-    digits = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("l"), x.alias("d"))))["d"]
-    whole = digits.isNull() | key.rlike(f"[{_MARK}{_WHOLE}]")
-    template = F.when(whole, F.concat(F.lit(_WHOLE), key)).otherwise(F.concat(F.length(digits).cast("string"), F.lit(_MARK), F.replace(key, digits, F.lit(_MARK))))
-    return template, F.when(whole, F.lit(0)).otherwise(digits.cast("long")).cast("long")
 
+def located(df: DataFrame) -> DataFrame:
+    """Adds template, n and block to rows with a key: template and n together give back the key, so equal pairs mean equal keys.
 
-def _located(df: DataFrame) -> DataFrame:
-    template, number = split_key(F.col("key"))
-    return df.withColumn("template", template).withColumn("n", number).withColumn("block", F.floor(F.col("n") / BLOCK))
+    Up to 18 digits make a number. Keys without digits, or with the marks themselves, stay whole as a template with number 0.
+    """
+    key, digits = F.col("key"), F.col("_d")
+    return (
+        df.withColumn("_d", F.when(~(key.contains(_MARK) | key.contains(_WHOLE)), _digits(key)))
+        .withColumn("template", F.when(digits.isNull(), F.concat(F.lit(_WHOLE), key)).otherwise(F.concat(F.length(digits).cast("string"), F.lit(_MARK), F.replace(key, digits, F.lit(_MARK)))))
+        .withColumn("n", F.coalesce(digits.cast("long"), F.lit(0)))
+        .withColumn("block", F.shiftright("n", BLOCK.bit_length() - 1))
+        .drop("_d")
+    )
 
 
 def parent_state(parents: DataFrame, removed: DataFrame) -> DataFrame:
     """One row per (target, key) that has a parent row: earliest arrival, and whether it is withdrawn now.
 
-    parents: target, key, arrived. removed: target, key, removed_at. Null keys are dropped. A key is
+    parents: target, key, arrived. removed: target, key, removed_at. Null keys match nothing. A key is
     withdrawn if its latest removal is at or after its latest arrival; without any time there it is not.
     """
     both = parents.select("target", "key", "arrived", F.lit(None).cast("timestamp_ntz").alias("removed_at"), F.lit(1).alias("there")).unionByName(
         removed.select("target", "key", F.lit(None).cast("timestamp_ntz").alias("arrived"), "removed_at", F.lit(0).alias("there"))
     )
     return (
-        both.filter(F.col("key").isNotNull())
-        .groupBy("target", "key")
+        both.groupBy("target", "key")
         .agg(F.min("arrived").alias("first"), F.max("arrived").alias("last"), F.max("removed_at").alias("gone"), F.max("there").alias("there"))
         .filter(F.col("there") == 1)
         .select("target", "key", "first", F.coalesce(F.col("gone") >= F.col("last"), F.lit(False)).alias("withdrawn"))
@@ -59,7 +61,7 @@ def parent_runs(state: DataFrame) -> DataFrame:
     """Contiguous runs of parent numbers: target, template, block, run(start, end, members)."""
     w = Window.partitionBy("target", "template", "block").orderBy("n")
     return (
-        _located(state)
+        located(state)
         .withColumn("island", F.col("n") - F.row_number().over(w))
         .groupBy("target", "template", "block", "island")
         .agg(F.min("n").alias("start"), F.max("n").alias("end"), F.sort_array(F.collect_list(F.struct("n", "first", "withdrawn"))).alias("members"))
@@ -72,7 +74,7 @@ def verdicts(keys: DataFrame, runs: DataFrame) -> DataFrame:
 
     reason is missing, withdrawn or late; late holds for references before `arrived` only.
     """
-    asked = _located(keys).select("target", "template", "block", F.col("n").alias("at"), F.lit(1).alias("kind"), "key", "since", F.lit(None).cast(runs.schema["run"].dataType).alias("run"))
+    asked = located(keys).select("target", "template", "block", F.col("n").alias("at"), F.lit(1).alias("kind"), "key", "since", F.lit(None).cast(runs.schema["run"].dataType).alias("run"))
     starts = runs.select("target", "template", "block", F.col("run.start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("timestamp_ntz").alias("since"), "run")
     w = Window.partitionBy("target", "template", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = asked.unionByName(starts).withColumn("run", F.last("run", ignorenulls=True).over(w)).filter(F.col("kind") == 1)
@@ -109,4 +111,4 @@ def reference_rows(table: DataFrame, ref_table: str, id_column: str, time_column
 
 
 def parent_rows(table: DataFrame, target: str, key_column: str, time_column: str) -> DataFrame:
-    return table.select(F.lit(target).alias("target"), compared(F.col(key_column)).alias("key"), F.col(time_column).alias("arrived"))
+    return table.filter(F.col(key_column).isNotNull()).select(F.lit(target).alias("target"), compared(F.col(key_column)).alias("key"), F.col(time_column).alias("arrived"))

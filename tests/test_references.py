@@ -1,8 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from sonarloom.operators.references import dangling_references, split_key
-from pyspark.sql import functions as F
+from sonarloom.operators.references import dangling_references, located
 
 T0 = datetime(2024, 1, 1)
 REFS = "target string, key string, own_time timestamp_ntz, file_id string, n long, run string"
@@ -64,5 +63,5 @@ def test_hot_key_is_matched_once(spark):
 
 def test_split_key_loses_nothing(spark):
     keys = ["a1b1", "a\x01b\x01", "a1b01", "\x02x", "x", "", "1", "01", "a12b1"]
-    got = [tuple(r) for r in spark.createDataFrame([(k,) for k in keys], "k string").select(*split_key(F.col("k"))).collect()]
+    got = [(r["template"], r["n"]) for r in located(spark.createDataFrame([(k,) for k in keys], "key string")).collect()]
     assert len(set(got)) == len(keys)
