@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarloom.operators import sequence as seq
 from sonarloom.plans.base import ENVELOPES, envelopes, registry
-from sonarloom.session import table
+from sonarloom.session import cut, table
 
 QUERIES, SQL, query = registry()
 
@@ -86,7 +86,8 @@ cov AS (SELECT wins.song, window_len, i::INT AS window_idx, c.class, count(act.b
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
     env, cls = envelopes(spark, d), classes(spark, d).filter("song is not null")
-    members = seq.segments(env, RULES).join(cls.filter("class is not null"), "series").select("song", "class", "start", "end")
+    # Read twice below, and small beside the blocks: written once.
+    members = cut(seq.segments(env, RULES).join(cls.filter("class is not null"), "series").select("song", "class", "start", "end"), "members")
     lengths = env.groupBy("series").agg((F.max("block") + 1).alias("n")).join(cls, "series").groupBy("song").agg(F.min("n").alias("n"))
     return seq.coverage(members, lengths, WINDOWS)
 

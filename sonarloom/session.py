@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "sonarloom") -> SparkSession:
@@ -32,12 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset, a local master gets a temporary folder (driver and executors are one
     process there); any other master is an error, since a machine's own folder is lost with it.
     """
-    found = spark.conf.get(_CHECKPOINT, None)
+    found = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
             raise ValueError(f"set {_CHECKPOINT} to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sonarloom-")
-        spark.conf.set(_CHECKPOINT, found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sonarloom-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -46,9 +48,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that cut() wrote in this process; results that still need them must be stored before."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
