@@ -43,14 +43,14 @@ def runs(blocks: DataFrame, mask: Column, extra: dict[str, Column] | None = None
     )
 
 
-def merged(intervals: DataFrame, gap: int) -> DataFrame:
-    """Join intervals of a series whose start lies less than `gap` blocks after all earlier ends."""
+def merged(intervals: DataFrame, gap: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Join intervals of a series whose start lies less than `gap` blocks after all earlier ends; keep: columns constant in a series."""
     w = Window.partitionBy("series").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col("start") - before >= gap), 1).otherwise(0)
     return (
         intervals.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w))
-        .groupBy("series", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+        .groupBy("series", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *[F.max(c).alias(c) for c in keep]).drop("_island")
     )
 
 
@@ -61,10 +61,12 @@ def segments(blocks: DataFrame, rules: SegmentRules) -> DataFrame:
     under min_length dropped; ends extended by release blocks within the series, and overlaps joined.
     Null levels are silent.
     """
-    ends = blocks.groupBy("series").agg((F.max("block") + 1).cast("int").alias("n"))
-    opened = runs(blocks, F.col("db") > rules.close_db, {"opened": F.bool_or(F.col("db") >= rules.open_db)}).filter("opened").drop("opened")
-    kept = merged(opened, rules.min_gap).filter(F.col("end") - F.col("start") >= rules.min_length)
-    extended = kept.join(ends, "series").select("series", "start", F.least(F.col("end") + rules.release, F.col("n")).alias("end"))
+    # The series' length rides along: a join with it would shuffle the blocks once more.
+    whole = Window.partitionBy("series").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = blocks.withColumn("n", (F.max("block").over(whole) + 1).cast("int"))
+    opened = runs(sized, F.col("db") > rules.close_db, {"opened": F.bool_or(F.col("db") >= rules.open_db), "n": F.max("n")}).filter("opened").drop("opened")
+    kept = merged(opened, rules.min_gap, ("n",)).filter(F.col("end") - F.col("start") >= rules.min_length)
+    extended = kept.select("series", "start", F.least(F.col("end") + rules.release, F.col("n")).alias("end"))
     return merged(extended, 1)
 
 

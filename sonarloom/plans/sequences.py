@@ -67,7 +67,7 @@ q AS (SELECT class, quantile_cont(gap, 0.5) AS gap_p50, quantile_cont(gap, 0.95)
 SELECT class, segments, round(p25, 4) AS seg_p25, round(p50, 4) AS seg_p50, round(p75, 4) AS seg_p75, round(gap_p50, 4) AS gap_p50, round(gap_p95, 4) AS gap_p95 FROM s LEFT JOIN q USING (class)""")
 def gap_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per class percentiles of segment and gap lengths; without gaps they are null."""
-    found, cls = seq.segments(envelopes(spark, d), RULES), classes(spark, d).filter("class is not null")
+    found, cls = cut(seq.segments(envelopes(spark, d), RULES), "segments"), classes(spark, d).filter("class is not null")
     lengths = found.withColumn("len", F.col("end") - F.col("start")).join(cls, "series").groupBy("class").agg(F.count("*").alias("segments"), F.percentile("len", [0.25, 0.5, 0.75]).alias("p"))
     gaps = seq.gaps(found).join(cls, "series").groupBy("class").agg(F.percentile("blocks", [0.5, 0.95]).alias("g"))
     shown = {"seg_p25": F.col("p")[0], "seg_p50": F.col("p")[1], "seg_p75": F.col("p")[2], "gap_p50": F.col("g")[0], "gap_p95": F.col("g")[1]}
