@@ -58,6 +58,15 @@ def excerpt_start(anchor_s: Column, back: Column, window_s: float, rate: int, fr
     return F.greatest(F.lit(0), F.least(wanted, F.greatest(F.lit(0), frames - chunk)))
 
 
+def drawn_segment(segments: DataFrame, u: Column) -> DataFrame:
+    """One segment of each series, drawn by length: that in whose stretch of the summed lengths u (0 to 1) falls. Series without segments give no row."""
+    w = Window.partitionBy("series").orderBy("start")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    length = F.col("end") - F.col("start")
+    point = u * F.sum(length).over(whole)
+    return segments.withColumn("_upto", F.sum(length).over(w)).withColumn("_at", point).filter((F.col("_upto") - length <= F.col("_at")) & (F.col("_at") < F.col("_upto"))).drop("_upto", "_at")
+
+
 # Settings that are named but do nothing yet.
 RESERVED = ("coherent_mix_prob", "multi_sample", "pitch_pool_manifest", "draw_unit")
 

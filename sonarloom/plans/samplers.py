@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonarloom.operators.sampling import excerpt_start, matched_gain, stratified_split as split_by, uniform_md5, uniform_md5_sql, weighted_draw as draw_by
-from sonarloom.plans.base import registry
+from sonarloom.operators.sampling import drawn_segment, excerpt_start, matched_gain, stratified_split as split_by, uniform_md5, uniform_md5_sql, weighted_draw as draw_by
+from sonarloom.operators import sequence as seq
+from sonarloom.plans.base import envelopes, registry
+from sonarloom.plans.sequences import _SEGMENTS, BLOCK_S, RULES
 from sonarloom.session import table
 
 QUERIES, SQL, query = registry()
@@ -56,6 +58,25 @@ def activity_excerpt_plan(spark: SparkSession, d: str) -> DataFrame:
     return f.select("file_id", excerpt_start(anchor, uniform_md5(F.lit("e"), F.col("file_id"), F.lit("back")), WINDOW_S, RATE, F.col("frames")).alias("start_frame"))
 
 
+_S, _I, _K = (uniform_md5_sql("'e'", "series", f"'{x}'") for x in ("segment", "inside", "back"))
+
+
+@query(f"""WITH {_SEGMENTS.strip()}, f AS (SELECT file_id AS series, max(out_frames) AS frames FROM source_manifest WHERE out_frames > 0 GROUP BY file_id),
+c AS (SELECT series, a, b, sum(b - a) OVER (PARTITION BY series ORDER BY a) AS upto, {_S} * sum(b - a) OVER (PARTITION BY series) AS p FROM seg),
+drawn AS (SELECT series, (a + {_I} * (b - a)) * {BLOCK_S}::DOUBLE AS anchor FROM c WHERE upto - (b - a) <= p AND p < upto)
+SELECT series AS file_id, greatest(0, least(round_even((anchor - {_K} * {WINDOW_S}::DOUBLE) * {RATE}, 0)::BIGINT, greatest(0, frames - {int(RATE * WINDOW_S)}))) AS start_frame FROM drawn JOIN f USING (series)""")
+def segment_excerpt_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Where each file's excerpt starts: a segment drawn by its length, an anchor in it, the window at random around the anchor.
+
+    Files without an envelope, and silent ones, have no segment and no row.
+    """
+    f = table(spark, d, "source_manifest").filter("out_frames > 0").groupBy(F.col("file_id").alias("series")).agg(F.max("out_frames").alias("frames"))
+    u = {x: uniform_md5(F.lit("e"), F.col("series"), F.lit(x)) for x in ("segment", "inside", "back")}
+    one = drawn_segment(seq.segments(envelopes(spark, d), RULES), u["segment"]).join(f, "series")
+    anchor = (F.col("start") + u["inside"] * (F.col("end") - F.col("start"))) * BLOCK_S
+    return one.select(F.col("series").alias("file_id"), excerpt_start(anchor, u["back"], WINDOW_S, RATE, F.col("frames")).alias("start_frame"))
+
+
 _J = uniform_md5_sql("'g'", "file_id")
 
 
