@@ -21,8 +21,8 @@ from pyspark.sql.types import StringType
 from sonarloom.session import cut
 
 # Letters and the Latin letters they look like.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮҺԌԚԜасеһіјорԛѕухԝү", "ABESIJKMHOPCTYXYhGQWacehijopqsyxwy"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαιρνυϳϲ", "ABEZHIKMNOPTYXoaipvujc"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮҺԌԚԜасеһіјорԛѕухԝү\u0501\u04cf\u04c0\u0475\u0474", "ABESIJKMHOPCTYXYhGQWacehijopqsyxwydlIvV"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαιρνυϳϲ\u03f9\u037f", "ABEZHIKMNOPTYXoaipvujcCJ"))
 # Format characters that are seen, and characters without width outside category Cf.
 SEEN_FORMAT = "؀؁؂؃؄؅۝܏࢐࢑࣢"
 NO_WIDTH = "͏឴឵᠋᠌᠍᠏" + "".join(map(chr, range(0xFE00, 0xFE10)))

@@ -60,3 +60,8 @@ def test_pairs_against_brute_force(spark):
     classes, pairs = same_reading(spark.createDataFrame(docs, "doc_id long, text string, form string, id int"))
     assert {tuple(r) for r in pairs.collect()} == want and classes.count() == 10
     assert same_reading(spark.createDataFrame([], "doc_id long, text string"))[1].count() == 0
+
+
+@pytest.mark.parametrize("a,b", [("\u0501\u04cf\u04c0\u0475\u0474", "dlIvV"), ("\u03f9\u037f", "CJ"), ("\u0477", "v\u030f"), ("\u0501", "d")])
+def test_letters_identical_to_latin_ones(a, b):
+    assert consistent(a) == consistent(b) and consistent(a) != consistent(b.swapcase())
