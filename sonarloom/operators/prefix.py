@@ -44,9 +44,9 @@ def running_sum(df: DataFrame, group: list[str], order: str, ties: list[str], we
     return joined.select("l.*", (F.col("l._in") + F.col("r._o")).alias(total)).drop("_w", "_b", "_in")
 
 
-def random_rank(df: DataFrame, group: list[str], key: list[str], seed: int, rank: str = "rank", rows: int | None = None) -> DataFrame:
-    """Adds `rank`: 1, 2, ... in a random order within the group that depends on seed and key only."""
-    ordered = df.withColumn("_u", uniform(seed, *key))
+def random_rank(df: DataFrame, group: list[str], key: list[str], seed: int, rank: str = "rank", rows: int | None = None, u: Column | None = None) -> DataFrame:
+    """Adds `rank`: 1, 2, ... in a random order within the group that depends on seed and key only; or in the order of u, doubles in [0, 1)."""
+    ordered = df.withColumn("_u", uniform(seed, *key) if u is None else u)
     return running_sum(ordered, group, "_u", key, F.lit(1), "_before", rows).withColumn(rank, F.col("_before") + 1).drop("_u", "_before")
 
 

@@ -2,10 +2,10 @@
 
 Keys are text, so each is first split without loss into (template, number): its longest run of
 digits, replaced wherever it occurs by a mark, and the rest. Parent numbers of one template are
-sorted and compressed into contiguous runs (start, end, state of each member); a reference is
+sorted and compressed into contiguous runs (start, end, and what holds for all members); a reference is
 matched as-of to the run with the nearest start at or before its number, and dangles where its
-number lies beyond that run's end. Runs never cross a block of BLOCK numbers, so a run's array is
-bounded and (target, template, block) is an equi-key that spreads the work.
+number lies beyond that run's end. Runs never cross a block of BLOCK numbers, so
+(target, template, block) is an equi-key that spreads the work and bounds each window.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarloom.functions.text import compared
+from sonarloom.operators.skew import hot_keys
+from sonarloom.session import cut
 
-#: Numbers per block, a power of 2: bounds the rows of one window group and the length of a run's array.
+#: Numbers per block, a power of 2: bounds the rows of one window group.
 BLOCK = 1024
 _MARK, _WHOLE = "\x01", "\x02"
 
@@ -58,33 +60,40 @@ def parent_state(parents: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def parent_runs(state: DataFrame) -> DataFrame:
-    """Contiguous runs of parent numbers: target, template, block, run(start, end, members)."""
+    """Contiguous runs of parent numbers: target, template, block, run(start, end, latest, withdrawn).
+
+    latest: the latest of the members' first arrivals; withdrawn: whether any member is.
+    """
     w = Window.partitionBy("target", "template", "block").orderBy("n")
     return (
         located(state)
         .withColumn("island", F.col("n") - F.row_number().over(w))
         .groupBy("target", "template", "block", "island")
-        .agg(F.min("n").alias("start"), F.max("n").alias("end"), F.sort_array(F.collect_list(F.struct("n", "first", "withdrawn"))).alias("members"))
-        .select("target", "template", "block", F.struct("start", "end", "members").alias("run"))
+        .agg(F.min("n").alias("start"), F.max("n").alias("end"), F.max("first").alias("latest"), F.bool_or("withdrawn").alias("withdrawn"))
+        .select("target", "template", "block", F.struct("start", "end", "latest", "withdrawn").alias("run"))
     )
 
 
-def verdicts(keys: DataFrame, runs: DataFrame) -> DataFrame:
+def verdicts(keys: DataFrame, state: DataFrame) -> DataFrame:
     """Of the referred keys (target, key, since: earliest own time) those that may dangle: target, key, reason, arrived.
 
-    reason is missing, withdrawn or late; late holds for references before `arrived` only.
+    reason is missing, withdrawn or late; late holds for references before `arrived` only. A run says at
+    once which keys lie beyond its end, and which are sure to be sound, as none of its members is
+    withdrawn or came after the reference. Only the keys in doubt look up their own member.
     """
+    runs = parent_runs(state)
     asked = located(keys).select("target", "template", "block", F.col("n").alias("at"), F.lit(1).alias("kind"), "key", "since", F.lit(None).cast(runs.schema["run"].dataType).alias("run"))
     starts = runs.select("target", "template", "block", F.col("run.start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("timestamp_ntz").alias("since"), "run")
     w = Window.partitionBy("target", "template", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = asked.unionByName(starts).withColumn("run", F.last("run", ignorenulls=True).over(w)).filter(F.col("kind") == 1)
     beyond = F.col("run").isNull() | (F.col("at") > F.col("run.end"))
-    member = F.when(~beyond, F.element_at(F.col("run.members"), (F.col("at") - F.col("run.start") + 1).cast("int")))
+    doubtful = F.col("run.withdrawn") | (F.col("since") < F.col("run.latest"))
     return (
-        found.withColumn("beyond", beyond).withColumn("member", member)
-        .withColumn("reason", F.when(F.col("beyond"), "missing").when(F.col("member.withdrawn"), "withdrawn").when(F.col("since") < F.col("member.first"), "late"))
+        found.select("target", "key", "since", beyond.alias("beyond"), doubtful.alias("doubtful")).filter("beyond or doubtful")
+        .join(state, ["target", "key"], "left")
+        .withColumn("reason", F.when(F.col("beyond"), "missing").when(F.col("withdrawn"), "withdrawn").when(F.col("since") < F.col("first"), "late"))
         .filter(F.col("reason").isNotNull())
-        .select("target", "key", "reason", F.col("member.first").alias("arrived"))
+        .select("target", "key", "reason", F.col("first").alias("arrived"))
     )
 
 
@@ -94,14 +103,24 @@ def dangling_references(refs: DataFrame, parents: DataFrame, removed: DataFrame)
     refs: target, key, own_time and any other columns, which are kept; keys in compared form in all
     three. Adds reason. Null keys are no references; a null own time is never late. Repeated rows
     each count. Empty inputs: no parents makes every reference missing, no references gives no rows.
-    References are first reduced to their distinct keys, so a key that a third of all rows
-    refer to is matched once; the few dangling keys are then joined back.
+    References are first reduced to their distinct keys, so a key that a third of all rows refer to
+    is matched once. On the way back hot keys bring their verdict by broadcast (they are few by
+    definition): sound ones leave before the shuffle, the rows of the others are spread over it.
     """
-    refs = refs.drop("reason").filter(F.col("key").isNotNull())
-    keys = refs.groupBy("target", "key").agg(F.min("own_time").alias("since"))
-    bad = verdicts(keys, parent_runs(parent_state(parents, removed))).withColumnRenamed("arrived", "_arrived")
+    names = refs.drop("reason").columns
+    refs = refs.select(*names).filter(F.col("key").isNotNull())
+    keys = cut(refs.groupBy("target", "key").agg(F.min("own_time").alias("since"), F.count("*").alias("n")), "referred")
+    bad = cut(verdicts(keys.drop("n"), parent_state(parents, removed)), "verdicts")
+    hot = hot_keys(keys, ["target", "key"]).join(bad, ["target", "key"], "left").select("target", "key", F.lit(True).alias("_hot"), F.col("reason").alias("_hot_reason"), F.col("arrived").alias("_hot_arrived"))
+    marked = refs.join(F.broadcast(hot), ["target", "key"], "left").filter("_hot is null or _hot_reason is not null")
+    spread = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*names), F.lit(1 << 20))).otherwise(0)
+    cold = bad.select("target", "key", F.lit(0).cast("long").alias("_s"), "reason", F.col("arrived").alias("_arrived"))
+    found = (
+        marked.withColumn("_s", spread.cast("long")).join(cold, ["target", "key", "_s"], "left")
+        .withColumn("reason", F.coalesce("reason", "_hot_reason")).withColumn("_arrived", F.coalesce("_arrived", "_hot_arrived"))
+    )
     late = F.col("reason") == "late"
-    return refs.join(bad, ["target", "key"]).filter(~late | (F.col("own_time") < F.col("_arrived"))).drop("_arrived")
+    return found.filter(F.col("reason").isNotNull() & (~late | (F.col("own_time") < F.col("_arrived")))).select(*names, "reason")
 
 
 def reference_rows(table: DataFrame, ref_table: str, id_column: str, time_column: str, fields: dict[str, str]) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from sonarloom.operators.references import dangling_references, located
+from sonarloom.operators.skew import hot_keys, skew_join
 
 T0 = datetime(2024, 1, 1)
 REFS = "target string, key string, own_time timestamp_ntz, file_id string, n long, run string"
@@ -65,3 +68,18 @@ def test_split_key_loses_nothing(spark):
     keys = ["a1b1", "a\x01b\x01", "a1b01", "\x02x", "x", "", "1", "01", "a12b1"]
     got = [(r["template"], r["n"]) for r in located(spark.createDataFrame([(k,) for k in keys], "key string")).collect()]
     assert len(set(got)) == len(keys)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """Keys with half of the rows, dangling and sound, take the other way and give the same rows."""
+    monkeypatch.setattr("sonarloom.operators.skew.LEAST", 20)
+    refs = [("t", k, T0 + timedelta(days=i % 4), f"f{i}", i, "x") for k in ("gone", "k7", "fine", "old") for i in range(200)] + [("t", f"k{i}", T0, f"g{i}", i, "x") for i in range(40)]
+    parents = [("t", "k7", T0 + timedelta(days=2)), ("t", "fine", T0), ("t", "old", T0), *[("t", f"k{i}", T0) for i in range(30) if i != 7]]
+    removed = [("t", "old", T0 + timedelta(days=9)), ("t", "k3", T0 + timedelta(days=9))]
+    assert run(spark, refs, parents, removed) == brute(refs, parents, removed)
+    rows = spark.createDataFrame([(r[0], r[1], r[3]) for r in refs], "target string, key string, file_id string")
+    hot = hot_keys(rows.groupBy("target", "key").agg(F.count("*").alias("n")), ["target", "key"])
+    assert {r["key"]: r["parts"] for r in hot.collect()} == {"gone": 10, "k7": 11, "fine": 10, "old": 10}
+    few = spark.createDataFrame([("t", "gone", 1), ("t", "gone", 2), ("t", "k1", 3), ("t", "none", 4)], "target string, key string, v int")
+    got = skew_join(rows, few, hot, ["target", "key"], ["file_id"])
+    assert sorted(map(tuple, got.select("key", "file_id", "v").collect())) == sorted((r[1], r[3], v) for r in refs for k, v in (("gone", 1), ("gone", 2), ("k1", 3)) if r[1] == k)
