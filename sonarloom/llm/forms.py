@@ -18,14 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sonarloom.operators.skew import for_parts, hot_keys, in_parts, skew_join
 from sonarloom.session import cut
 
-# Letters and the Latin letters they look like.
+# Letters and the Latin letters they look like. Of the public Unicode confusables that lead from one Cyrillic
+# or Greek letter to one Latin letter, those are left out that readers tell apart: U+0433 (r), U+042C (b), U+0461 (w),
+# U+04BD (e), U+A647 (i), U+03B3 (y), U+03C3 (o), U+03F1 (p), U+03D2 (Y), U+037A (i).
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮҺԌԚԜасеһіјорԛѕухԝү\u0501\u04cf\u04c0\u0475\u0474", "ABESIJKMHOPCTYXYhGQWacehijopqsyxwydlIvV"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαιρνυϳϲ\u03f9\u037f", "ABEZHIKMNOPTYXoaipvujcCJ"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαιρνυϳϲ\u03f9\u037f\u03dc\u03fa", "ABEZHIKMNOPTYXoaipvujcCJFM"))
 # Format characters that are seen, and characters without width outside category Cf.
 SEEN_FORMAT = "؀؁؂؃؄؅۝܏࢐࢑࣢"
-NO_WIDTH = "͏឴឵᠋᠌᠍᠏" + "".join(map(chr, range(0xFE00, 0xFE10)))
+NO_WIDTH = "͏឴឵᠋᠌᠍᠏" + "".join(map(chr, range(0xFE00, 0xFE10))) + "".join(map(chr, range(0xE0100, 0xE01F0))) + "\u115f\u1160\u3164\uffa0"
 
 
 def build_mapping() -> dict[str, str]:
@@ -39,15 +42,15 @@ def build_mapping() -> dict[str, str]:
     for ch in map(chr, range(sys.maxunicode + 1)):
         kind = unicodedata.category(ch)
         width = unicodedata.decomposition(ch).split(" ")
-        if kind == "Zs":
+        if ch in NO_WIDTH:
+            rule(ch, "")
+        elif kind == "Zs":
             if ch != " ":
                 rule(ch, " ")
         elif kind == "Cf" and ch not in SEEN_FORMAT:
             rule(ch, "")
         elif width[0] in ("<wide>", "<narrow>"):
             rule(ch, "".join(chr(int(x, 16)) for x in width[1:]))
-    for ch in NO_WIDTH:
-        rule(ch, "")
     for table in (CYRILLIC, GREEK):
         for ch, to in table.items():
             rule(ch, to)
@@ -149,12 +152,38 @@ def same_reading(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     classes has one row per document: id, form, stored (digests of its form and its stored text).
     pairs: a, b (smaller id first), documents that read the same though stored differently. Copies
     of one stored text are not paired with one another. Null texts read like nothing, empty
-    ones like each other. Only groups that hold two stored texts are joined, on digests.
+    ones like each other. Stored texts are paired first, one row for any number of copies; only
+    those links are expanded to documents, and copies without number are spread over parts.
     """
     text = F.col(text_column)
     classes = cut(docs.filter(text.isNotNull()).select(F.col(id_column).alias("id"), F.unhex(form_digest(text)).alias("form"), F.unhex(F.md5(text)).alias("stored")), "forms")
-    mixed = classes.groupBy("form").agg(F.min("stored").alias("x"), F.max("stored").alias("y")).filter(F.col("x") != F.col("y")).select("form")
-    members = classes.join(mixed, "form")
-    a, b = members.select("form", F.col("id").alias("a"), F.col("stored").alias("sa")), members.select("form", F.col("id").alias("b"), F.col("stored").alias("sb"))
-    pairs = a.join(b, "form").filter((F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb"))).select("a", "b")
-    return classes, pairs
+    stored = cut(classes.groupBy("form", "stored").agg(F.count("*").alias("n")), "stored-texts")
+    mixed = stored.groupBy("form").agg(F.count("*").alias("k")).filter("k > 1").select("form")
+    variants = stored.join(mixed, "form")
+    # Forms with very many variants are spread as well.
+    crowded = hot_keys(cut(variants.groupBy("form").agg(F.count("*").alias("n")), "variants"), ["form"])
+    links = skew_join(variants.select("form", F.col("stored").alias("sa")), variants.select("form", F.col("stored").alias("sb")), crowded, ["form"], ["sa"]).filter(F.col("sa") != F.col("sb"))
+    hot = hot_keys(stored, ["stored"])
+    a, b = classes.select(F.col("stored").alias("sa"), F.col("id").alias("a")), classes.select(F.col("stored").alias("sb"), F.col("id").alias("b"))
+    one = skew_join(a, links.select("sa", "sb"), hot.withColumnRenamed("stored", "sa"), ["sa"], ["a"])
+    # Both sides may hold many copies here: the left is spread by its own hash, and meets every part of the right.
+    right = hot.withColumnRenamed("stored", "sb")
+    pairs = for_parts(one, right, ["sb"]).join(in_parts(b, right, ["sb"], ["b"]), ["sb", "_part"])
+    return classes, pairs.filter(F.col("a") < F.col("b")).select("a", "b")
+
+
+def form_sql(text: str) -> str:
+    """The consistent form in DuckDB's SQL: one translation of characters, then composition.
+
+    Derived from the mapping, for characters whose own consistent form is one character or none; the
+    few precomposed ones that come apart into more are replaced one by one.
+    """
+    change = {c: consistent(c) for c in map(chr, range(0x80, sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF and c.isprintable() | (c in MAPPING) and consistent(c) != unicodedata.normalize("NFC", c)}
+    longer = {c: to for c, to in change.items() if len(to) > 1}
+    kept = [c for c, to in change.items() if len(to) == 1]
+    gone = [c for c, to in change.items() if not to]
+    out = text
+    for c, to in longer.items():
+        out = f"replace({out}, chr({ord(c)}), {'||'.join(f'chr({ord(x)})' for x in to)})"
+    quoted = "".join(kept + gone), "".join(change[c] for c in kept).replace("'", "''")
+    return f"nfc_normalize(translate({out}, '{quoted[0]}', '{quoted[1]}'))"

@@ -65,3 +65,18 @@ def test_pairs_against_brute_force(spark):
 @pytest.mark.parametrize("a,b", [("\u0501\u04cf\u04c0\u0475\u0474", "dlIvV"), ("\u03f9\u037f", "CJ"), ("\u0477", "v\u030f"), ("\u0501", "d")])
 def test_letters_identical_to_latin_ones(a, b):
     assert consistent(a) == consistent(b) and consistent(a) != consistent(b.swapcase())
+
+
+def test_many_copies_and_variants(spark, monkeypatch):
+    """Half of all rows are copies of one text: links are made between texts, and copies are spread."""
+    monkeypatch.setattr("sonarloom.operators.skew.LEAST", 10)
+    texts = ["Copy"] * 60 + ["Сopy"] * 30 + ["ｃopy", "ｃоpy", "Сοpy"] + ["other"] * 20 + [f"Cо{'​' * k}py" for k in range(15)]
+    docs = list(enumerate(texts))
+    want = {(i, j) for i, s in docs for j, t in docs if i < j and s != t and consistent(s) == consistent(t)}
+    got = [tuple(r) for r in same_reading(spark.createDataFrame(docs, "doc_id long, text string"))[1].collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("a,b", [("ϜϺ", "FM"), ("a\U000e0100", "a"), ("ㅤaᅟﾠ", "a")])
+def test_more_letters_and_fillers(a, b):
+    assert consistent(a) == consistent(b)
