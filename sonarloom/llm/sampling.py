@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sonarloom.functions.text import compared
 from sonarloom.operators.prefix import random_rank
+from sonarloom.operators.sampling import uniform_md5
 from sonarloom.session import cut
 
 #: Rows of targets that the driver takes: a stated table of categories.
@@ -64,35 +65,43 @@ def proportional_sample(files: DataFrame, targets: DataFrame, share: float = 0.2
 
     files: file_id and a column for each category_field; a file counts in a category if any of its
     rows has it (case ignored), and once. sample: category_field, category, file_id, rank, priority.
-    report, a row for each target: available, needed (the larger of min_files and target_share x
-    share x files), drawn, drawn_share, met (available reaches needed). Categories without target are
-    not drawn; a null target_share or min_files is 0. No files: empty sample, and every target that asks for any is unmet.
+    report, a row for each target: available (the last rank its records reach), needed (the larger of
+    min_files and target_share x share x files), entitled (records among the first `needed` ranks), drawn,
+    drawn_share, enough (the ranks reach what is needed), reached (min_files and the share, within half a
+    percent of the sample, were drawn: other categories' floors may take seats from one that has enough).
+    Categories without target are not drawn; a null target_share or min_files is 0. No files: empty
+    sample, and every target that asks for any has not enough. Ranks are by md5: any engine can redraw them.
     """
     targets = targets.fillna(0, ["target_share", "min_files"]).filter("category_field is not null")
     wanted = targets.select("category_field", F.col("category").alias("written"), F.lower(compared(F.col("category"))).alias("category"), "target_share", "min_files")
     fields = sorted(r[0] for r in targets.select("category_field").distinct().collect())
-    members = cut(memberships(files, fields), "members")
+    members = memberships(files, fields)
     total = files.select(F.count_distinct(compared(F.col("file_id")))).head()[0]
-    counts = members.groupBy("category_field", "category").agg(F.count("*").alias("available"))
-    rows = wanted.join(counts, ["category_field", "category"], "left").fillna(0, ["available"]).orderBy("category_field", "written").limit(MAX_TARGETS + 1).collect()
+    size = round(share * total)
+    needed = F.greatest(F.col("min_files").cast("double"), F.col("target_share") * share * total)
+    # A category's records take their ranks once; all that follows reads them.
+    drawable = cut(members.join(F.broadcast(wanted.filter("category is not null").groupBy("category_field", "category").agg(F.max(needed).alias("needed"))), ["category_field", "category"]), "members")
+    u = uniform_md5(F.lit(str(seed)), F.col("category_field"), F.col("category"), F.col("file_id"))
+    ranked = cut(random_rank(drawable, ["category_field", "category"], ["file_id"], seed, u=u), "ranked")
+    ranks = ranked.groupBy("category_field", "category").agg(F.max("rank").alias("available"), F.count_if(F.col("rank") <= F.ceil("needed")).alias("entitled"))
+    rows = wanted.join(ranks, ["category_field", "category"], "left").fillna(0, ["available", "entitled"]).orderBy("category_field", "written").limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError("more targets than a stated table of categories should hold")
     planned = []
     for field in fields:
         own = [r for r in rows if r["category_field"] == field]
-        given = seats([r["available"] for r in own], [r["target_share"] for r in own], [r["min_files"] for r in own], round(share * total))
-        planned += [(field, r["category"], r["written"], r["target_share"], r["min_files"], r["available"], max(float(r["min_files"]), r["target_share"] * share * total), s) for r, s in zip(own, given)]
-    plan = files.sparkSession.createDataFrame(planned, "category_field string, category string, written string, target_share double, min_files int, available long, needed double, seats long")
-    largest = max([r["available"] for r in rows], default=0)
-    drawable = members.join(F.broadcast(plan.filter("seats > 0").select("category_field", "category", "written", "target_share", "min_files", "seats")), ["category_field", "category"])
-    ranked = random_rank(drawable, ["category_field", "category"], ["category_field", "category", "file_id"], seed, rows=largest)
+        given = seats([r["available"] for r in own], [r["target_share"] for r in own], [r["min_files"] for r in own], size)
+        planned += [(field, r["category"], r["written"], r["target_share"], r["min_files"], r["available"], r["entitled"], max(float(r["min_files"]), r["target_share"] * share * total), s) for r, s in zip(own, given)]
+    plan = files.sparkSession.createDataFrame(planned, "category_field string, category string, written string, target_share double, min_files int, available long, entitled long, needed double, seats long")
+    chosen = ranked.drop("needed").join(F.broadcast(plan.filter("seats > 0").select("category_field", "category", "written", "target_share", "min_files", "seats")), ["category_field", "category"])
     priority = F.when(F.col("rank") <= F.col("min_files"), 0.0).otherwise((F.col("rank") - 0.5) / F.col("target_share"))
-    sample = ranked.filter(F.col("rank") <= F.col("seats")).select("category_field", F.col("written").alias("category"), "file_id", "rank", priority.alias("priority"))
+    sample = chosen.filter(F.col("rank") <= F.col("seats")).select("category_field", F.col("written").alias("category"), "file_id", "rank", priority.alias("priority"))
     drawn = sample.groupBy("category_field", "category").agg(F.count("*").alias("drawn"))
+    drawn_share = F.coalesce(F.try_divide(F.col("drawn"), F.lit(float(size))), F.lit(0.0))
     report = (
         plan.drop("category").withColumnRenamed("written", "category").join(drawn, ["category_field", "category"], "left").fillna(0, ["drawn"])
-        .withColumn("drawn_share", F.coalesce(F.try_divide(F.col("drawn"), F.lit(float(round(share * total)))), F.lit(0.0)))
-        .withColumn("met", F.col("available") >= F.col("needed"))
+        .withColumn("drawn_share", drawn_share).withColumn("enough", F.col("entitled") >= F.col("needed"))
+        .withColumn("reached", (F.col("drawn") >= F.col("min_files")) & (F.col("drawn_share") >= F.col("target_share") - 0.005))
     )
     return sample, report
 
@@ -148,7 +157,7 @@ def joint_sample(files: DataFrame, targets: DataFrame, share: float = 0.2, seed:
     drawn if it has a targeted category in every field. What exhausted categories lack goes to the others of their field. Each combination of categories is a cell; cell
     targets are fitted to all fields' shares, and records are drawn by the divisor method over cells.
     sample: file_id, cell (the categories, in order of field), rank. report: category_field, category,
-    target_share, min_files, available (among files that can be drawn), drawn, drawn_share (of the sample), met
+    target_share, min_files, available (among files that can be drawn), drawn, drawn_share (of the sample), reached
     (at least min_files drawn, and the share reached within half a percent of the sample).
     """
     targets = targets.fillna(0, ["target_share", "min_files"]).filter("category_field is not null and category is not null")
@@ -157,7 +166,7 @@ def joint_sample(files: DataFrame, targets: DataFrame, share: float = 0.2, seed:
         raise ValueError("more targets than a stated table of categories should hold")
     fields = sorted({r["category_field"] for r in given})
     spark = files.sparkSession
-    report_schema = "category_field string, category string, target_share double, min_files int, available long, drawn long, drawn_share double, met boolean"
+    report_schema = "category_field string, category string, target_share double, min_files int, available long, drawn long, drawn_share double, reached boolean"
     if not fields:
         return spark.createDataFrame([], "file_id string, cell array<string>, rank long"), spark.createDataFrame([], report_schema)
     keys = [F.lower(compared(F.col(f))) for f in fields]
@@ -180,8 +189,9 @@ def joint_sample(files: DataFrame, targets: DataFrame, share: float = 0.2, seed:
         wanted.append(refilled({r["key"]: r["target_share"] for r in own}, have, {r["key"]: r["min_files"] for r in own}, min(size, sum(available))))
     x = fitted(cells, available, wanted)
     given_seats = seats(available, x.tolist(), [int(v) for v in np.floor(x + 1e-9)], min(size, round(float(x.sum()))))
+    # At most MAX_CELLS rows: Spark broadcasts them where they are small.
     plan = spark.createDataFrame([(list(c), s) for c, s in zip(cells, given_seats) if s], "cell array<string>, seats long")
-    ranked = random_rank(drawable.join(F.broadcast(plan) if len(cells) < 100_000 else plan, "cell"), ["cell"], ["file_id"], seed, rows=max(available, default=0))
+    ranked = random_rank(drawable.join(plan, "cell"), ["cell"], ["file_id"], seed, rows=max(available, default=0))
     sample = ranked.filter(F.col("rank") <= F.col("seats")).select("file_id", "cell", "rank")
     drawn = sum(given_seats)
     lines = []

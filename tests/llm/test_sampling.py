@@ -32,7 +32,7 @@ def test_sample_and_report(spark):
     targets = [("kind", "A", 0.5, 1, 0), ("kind", "B", 0.5, 1, 0), ("area", "Big", 0.9, 1, 0), ("area", "rare", 0.1, 8, 0), ("area", "gone", 0.0, 0, 0), ("area", None, None, None, None)]
     sample, report = proportional_sample(spark.createDataFrame(rows, FILES), spark.createDataFrame(targets, TARGETS), 0.2, 3)
     got = {(r["category_field"], r["category"]): r for r in report.collect()}
-    assert {k: (r["available"], r["met"]) for k, r in got.items()} == {("kind", "A"): (100, True), ("kind", "B"): (1, False), ("area", "Big"): (90, True), ("area", "rare"): (10, True), ("area", "gone"): (0, True), ("area", None): (0, True)}
+    assert {k: (r["available"], r["enough"]) for k, r in got.items()} == {("kind", "A"): (100, True), ("kind", "B"): (1, False), ("area", "Big"): (90, True), ("area", "rare"): (10, True), ("area", "gone"): (0, True), ("area", None): (0, True)}
     assert got["area", "rare"]["drawn"] == 8 and got["area", "Big"]["drawn"] == 12 and got["kind", "A"]["drawn"] == 19
     drawn = sample.collect()
     assert len(drawn) == len({(r["category_field"], r["category"], r["file_id"]) for r in drawn}) == 40
@@ -43,7 +43,7 @@ def test_sample_and_report(spark):
 def test_empty(spark):
     files, targets = spark.createDataFrame([], FILES), spark.createDataFrame([("kind", "a", 1.0, 3, 0)], TARGETS)
     sample, report = proportional_sample(files, targets)
-    assert sample.count() == 0 and [r["met"] for r in report.collect()] == [False]
+    assert sample.count() == 0 and [r["enough"] for r in report.collect()] == [False]
     assert proportional_sample(files, targets.limit(0))[1].count() == 0
 
 
@@ -67,7 +67,7 @@ def test_joint_sample(spark):
     targets = [("kind", "A", 0.3, 5, 0), ("kind", "b", 0.7, 5, 0), ("area", "x", 0.5, 5, 0), ("area", "y", 0.5, 5, 0), ("area", "gone", 0.0, 2, 0), (None, "z", 1.0, 1, 0)]
     sample, report = joint_sample(spark.createDataFrame(rows, FILES), spark.createDataFrame(targets, TARGETS), 0.2, 3, latest="rank")
     got = {r["category"]: r for r in report.collect()}
-    assert {k: r["met"] for k, r in got.items()} == {"A": True, "b": True, "x": True, "y": True, "gone": False}
+    assert {k: r["reached"] for k, r in got.items()} == {"A": True, "b": True, "x": True, "y": True, "gone": False}
     drawn = sample.collect()
     assert len(drawn) == len({r["file_id"] for r in drawn}) == 120
     for c, f, share in (("A", 1, 0.3), ("b", 1, 0.7), ("x", 0, 0.5), ("y", 0, 0.5)):
@@ -76,3 +76,10 @@ def test_joint_sample(spark):
     files = spark.createDataFrame([], FILES)
     assert joint_sample(files, spark.createDataFrame(targets, TARGETS))[0].count() == 0
     assert joint_sample(files, spark.createDataFrame([], TARGETS))[1].count() == 0
+
+
+def test_floors_of_others_take_seats(spark):
+    """A category can have enough records and still not reach its share."""
+    rows = [(f"f{i}", "a" if i < 85 else "b", None, "c", 1) for i in range(100)]
+    report = proportional_sample(spark.createDataFrame(rows, FILES), spark.createDataFrame([("kind", "a", 0.5, 0, 0), ("kind", "b", 0.5, 15, 0)], TARGETS))[1]
+    assert {r["category"]: (r["drawn"], r["enough"], r["reached"]) for r in report.collect()} == {"a": (5, True, False), "b": (15, True, True)}
