@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarloom.functions.text import compared
-from sonarloom.operators.prefix import running_sum, uniform
+from sonarloom.operators.prefix import running_sum
+from sonarloom.operators.sampling import uniform_md5
 from sonarloom.session import cut
 
 
@@ -61,24 +62,25 @@ def assign_splits(rows: DataFrame, targets: DataFrame, seed: int = 1, giant: flo
     """(songs, components): every song's component and new split, and each component's weight.
 
     rows: as manifest_rows gives. Songs are joined by a common file_id and by song and folder of one
-    row. songs: song, component, new_split. components: component, weight (distinct files), new_split.
+    row. songs: song, component (its least song), new_split. components: component, weight (distinct files), new_split.
     Components, in random order, take the stretches of the total weight that the targets cut; a component
     goes where its middle falls. Those over `giant` of the weight come first, the heaviest at the head of
     the largest share, where the many small ones after them can still even out the shares. A null file_id joins nothing.
+    The order is by md5 of the component's name: any engine can redraw it.
     """
     rows = rows.select("file_id", "song", "folder")
     named = rows.filter(F.col("file_id").isNotNull())
-    firsts = cut(named.groupBy("file_id").agg(F.min("song").alias("song")), "firsts")
-    mixed = named.groupBy("file_id").agg(F.min("song").alias("a"), F.max("song").alias("z")).filter(F.col("a") != F.col("z"))
-    by_file = named.join(mixed.select("file_id", "a"), "file_id").select("a", F.col("song").alias("b"))
+    # One pass: the file's first song, which it counts for, and its last one.
+    files = cut(named.groupBy("file_id").agg(F.min("song").alias("song"), F.max("song").alias("z")), "firsts")
+    by_file = named.join(files.filter(F.col("song") != F.col("z")).select("file_id", F.col("song").alias("a")), "file_id").select("a", F.col("song").alias("b"))
     by_folder = rows.filter(F.col("folder") != F.col("song")).select(F.col("song").alias("a"), F.col("folder").alias("b"))
     labels = cut(components(by_file.unionByName(by_folder), seed), "components")
-    by_song = firsts.groupBy("song").agg(F.count("*").alias("files"))
+    by_song = files.groupBy("song").agg(F.count("*").alias("files"))
     vertices = rows.select("song").distinct().join(by_song, "song", "left").join(labels.withColumnRenamed("vertex", "song"), "song", "left")
-    songs = cut(vertices.select("song", F.coalesce("root", "song").alias("component"), F.coalesce("files", F.lit(0)).alias("files")), "songs")
-    weights = songs.groupBy("component").agg(F.sum("files").alias("weight"))
-    total, n = songs.agg(F.coalesce(F.sum("files"), F.lit(0)), F.count("*")).head()
-    u = uniform(seed, "component")
+    songs = cut(vertices.select("song", F.coalesce("root", "song").alias("root"), F.coalesce("files", F.lit(0)).alias("files")), "songs")
+    weights = cut(songs.groupBy("root").agg(F.min("song").alias("component"), F.sum("files").alias("weight")), "weights")
+    total, n = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).head()
+    u = uniform_md5(F.lit(str(seed)), F.col("component"))
     ordered = weights.withColumn("_u", F.when(F.col("weight") > giant * total, 1e-6 * (1 - F.col("weight") / (total + 1))).otherwise(1e-6 + u * (1 - 1e-6)))
     placed = running_sum(ordered, [], "_u", ["component"], F.col("weight"), "_before", rows=n)
     cuts, upto = [], 0.0
@@ -89,15 +91,21 @@ def assign_splits(rows: DataFrame, targets: DataFrame, seed: int = 1, giant: flo
     new = F.lit(cuts[-1][0]) if cuts else F.lit(None).cast("string")
     for name, at in reversed(cuts[:-1]):
         new = F.when(middle < at, name).otherwise(new)
-    found = cut(placed.select("component", "weight", new.alias("new_split")), "component-splits")
-    return songs.select("song", "component").join(found.select("component", "new_split"), "component"), found
+    found = cut(placed.select("root", "component", "weight", new.alias("new_split")), "component-splits")
+    return songs.select("song", "root").join(found.select("root", "component", "new_split"), "root").drop("root"), found.drop("root")
 
 
-def straddling(rows: DataFrame, songs: DataFrame) -> DataFrame:
+def straddling(rows: DataFrame, seed: int = 1) -> DataFrame:
     """Songs whose rows have two different splits or more today: song, splits.
 
-    Only components that hold two splits can contain one; within these each song is checked.
+    Each song and each of its splits is a vertex, and every distinct (song, split) an edge; the
+    contracted components are the songs, and those that hold several splits straddle. Null splits join nothing.
     """
-    today = rows.filter(F.col("split").isNotNull()).select("song", "split").distinct().join(songs.select("song", "component"), "song")
-    mixed = today.groupBy("component").agg(F.min("split").alias("x"), F.max("split").alias("y")).filter(F.col("x") != F.col("y")).select("component")
-    return today.join(mixed, "component", "left_semi").groupBy("song").agg(F.sort_array(F.collect_set("split")).alias("splits")).filter(F.size("splits") > 1)
+    mark = "\x01"
+    today = rows.filter(F.col("split").isNotNull()).select("song", "split").distinct()
+    edges = today.select(F.concat("song", F.lit(mark)).alias("a"), F.concat("song", F.lit(mark), "split").alias("b"))
+    held = components(edges, seed)
+    # Roots are listed as no vertex: each stands for itself.
+    every = held.unionByName(held.select(F.col("root").alias("vertex"), "root").distinct())
+    song, split = F.regexp_extract("vertex", f"(?s)^(.*){mark}", 1), F.nullif(F.regexp_extract("vertex", f"(?s){mark}([^{mark}]*)$", 1), F.lit(""))
+    return every.groupBy("root").agg(F.max(song).alias("song"), F.array_sort(F.collect_set(split)).alias("splits")).filter(F.size("splits") > 1).select("song", "splits")

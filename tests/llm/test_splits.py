@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sonarloom.llm import splits
 from sonarloom.llm.splits import assign_splits, components, manifest_rows, straddling
 
 MANIFEST = "file_id string, song_id string, split string, song string, component string"
@@ -56,10 +57,21 @@ def test_assignment(spark):
         if split and split.strip():
             want.setdefault(song, set()).add(split.strip().lower())
     want.pop("", None)
-    assert {r["song"]: set(r["splits"]) for r in straddling(manifest, songs).collect()} == {k: v for k, v in want.items() if len(v) > 1}
+    assert {r["song"]: set(r["splits"]) for r in straddling(manifest).collect()} == {k: v for k, v in want.items() if len(v) > 1}
 
 
 def test_empty(spark):
     manifest = manifest_rows(spark.createDataFrame([], MANIFEST))
     songs, found = assign_splits(manifest, spark.createDataFrame([("train", 1.0)], TARGETS))
-    assert songs.count() == found.count() == straddling(manifest, songs).count() == 0
+    assert songs.count() == found.count() == straddling(manifest).count() == 0
+
+
+def test_straddling_hangs_on_the_contraction(spark, monkeypatch):
+    """A contraction that loses a move, or joins what has no edge, shows in the songs that are found."""
+    rows = manifest_rows(spark.createDataFrame([(f"D:s{i % 9}/f{i}", f"s{i % 9}", ["train", "val"][i % 2] if i % 9 < 4 else "train", "x", "y") for i in range(90)], MANIFEST)).cache()
+    assert {r["song"] for r in straddling(rows).collect()} == {"s0", "s1", "s2", "s3"}
+    right = splits.components
+    monkeypatch.setattr(splits, "components", lambda e, seed: right(e, seed).filter("vertex not like 's1%'"))
+    assert {r["song"] for r in straddling(rows).collect()} != {"s0", "s1", "s2", "s3"}
+    monkeypatch.setattr(splits, "components", lambda e, seed: right(e, seed).withColumn("root", F.lit("s8\x01")))
+    assert {r["song"] for r in straddling(rows).collect()} != {"s0", "s1", "s2", "s3"}
