@@ -15,8 +15,9 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    reached = F.col("mixed_tokens") < F.col("target_share") * F.col("all_tokens")
-    return p7_report(spark, d).filter(F.col("short") & reached).select("source").distinct()
+    """Sources of which the mixture holds all copies that it may, and still too few tokens."""
+    full = F.col("mixed_documents") == F.col("max_repeats") * F.col("documents")
+    return p7_report(spark, d).filter(full & (F.col("mixed_tokens") < F.col("target_share") * F.col("all_tokens"))).select("source").distinct()
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
