@@ -11,6 +11,7 @@ a proven bound.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUFFERS, SIZE = 10, 1024
+BUFFERS = 10
+#: Values that the open sketches of one task hold before they are handed on.
+HELD = 4_000_000
 STATE_COLUMNS = ["n", "error", "weights", "values"]
 STATE = "n long, error double, weights array<double>, values array<array<double>>"
 
 
+def size_for(epsilon: float) -> int:
+    """Values of a buffer so that ranks are off by epsilon x n at most, for up to 10^12 values.
+
+    A level of the tree collapses buffers of n / size weight in all, and moves a rank by 3/4 of that
+    at most; ten buffers reach 10^12 values in 34 levels. Each sketch states the bound it really has.
+    """
+    return math.ceil(26 / epsilon)
+
+
+SIZE = size_for(0.01)
+
+
 class Sketch:
     """n values seen, rank error so far, and buffers (weight, sorted values)."""
 
@@ -87,6 +102,9 @@ class Sketch:
         heaviest = max(w for w, _ in self.buffers)
         return values[order][at].tolist(), self.error + (heaviest / 2 if heaviest > 1 else 0)
 
+    def held(self) -> int:
+        return 16 + sum(len(v) for _, v in self.buffers)
+
     def state(self) -> dict:
         return {"n": self.n, "error": self.error, "weights": [w for w, _ in self.buffers], "values": [v.tolist() for _, v in self.buffers]}
 
@@ -96,7 +114,9 @@ def sketches(df: DataFrame, group: list[str], values: dict[str, Column], size: i
 
     values: measure -> numeric column. Null, NaN and infinity are no values; groups without any
     value have no row, a null group is a group of its own. Repeated rows count each. Every task
-    sketches what it reads, in one pass over the rows; sketches then merge in a tree.
+    sketches what it reads, in one pass over the rows, and hands its sketches on whenever they hold HELD
+    values; sketches then merge in a tree. Which values a sketch keeps depends on how the rows lie in
+    partitions, its bound holds for any; sketches of up to BUFFERS x size values keep them all.
     """
     names = list(values)
     cells = df.select(*[F.col(g).cast("string").alias(g) for g in group], *[F.when(F.abs(c.cast("double")) < float("inf"), c.cast("double")).alias(f"_v{i}") for i, c in enumerate(values.values())])
@@ -105,6 +125,14 @@ def sketches(df: DataFrame, group: list[str], values: dict[str, Column], size: i
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[tuple, Sketch] = {}
+        slot = TaskContext.get().partitionId() % 1024
+
+        def handed_on() -> Iterator[pd.DataFrame]:
+            rows = list(own.items())
+            own.clear()
+            for i in range(0, len(rows), 256):
+                yield pd.DataFrame([dict(zip([*group, "measure"], key)) | {"slot": slot} | s.state() for key, s in rows[i : i + 256]])
+
         for frame in frames:
             for i, name in enumerate(names):
                 some = frame[frame[f"_v{i}"].notna()]
@@ -113,9 +141,9 @@ def sketches(df: DataFrame, group: list[str], values: dict[str, Column], size: i
                 for key, part in some.groupby(group, dropna=False, sort=False)[f"_v{i}"]:
                     key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                     own.setdefault((*key, name), Sketch(size)).add(part.to_numpy(float))
-        slot = TaskContext.get().partitionId() % 1024
-        if own:
-            yield pd.DataFrame([dict(zip([*group, "measure"], key)) | {"slot": slot} | s.state() for key, s in own.items()])
+            if sum(s.held() for s in own.values()) > HELD:
+                yield from handed_on()
+        yield from handed_on()
 
     return merge_sketches(cells.mapInPandas(run, schema), group, size)
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonarloom.llm.quantiles import Sketch, merge_sketches, percentiles, sketches
+from sonarloom.llm import quantiles
+from sonarloom.llm.quantiles import Sketch, merge_sketches, percentiles, size_for, sketches
 
 SHARES = [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]
 
@@ -58,3 +59,28 @@ def test_spark_days_combine(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert percentiles(sketches(df, ["g"], {"v": F.col("v")}), ["g"], SHARES).count() == 0
+
+
+@pytest.mark.parametrize("epsilon", [0.2, 0.05, 0.01])
+def test_epsilon_is_kept(epsilon):
+    """The stated bound, and so the true error, stays within epsilon of all ranks, in one sketch and in a merged tree."""
+    x = np.random.default_rng(6).lognormal(size=1_500_000)
+    size = size_for(epsilon)
+    parts = []
+    for part in np.array_split(x, 64):
+        parts.append(Sketch(size))
+        parts[-1].add(part)
+    while len(parts) > 1:
+        for s in parts[1::2]:
+            parts[parts.index(s) - 1].merge(**s.state())
+        parts = parts[::2]
+    found, error = parts[0].quantiles(SHARES)
+    assert 0 < error <= epsilon * len(x) and all(off(x, v, p) <= error for v, p in zip(found, SHARES))
+
+
+def test_many_groups_are_handed_on(spark, monkeypatch):
+    """A task that meets more groups than it may hold hands its sketches on, and loses nothing."""
+    monkeypatch.setattr(quantiles, "HELD", 500)
+    df = spark.range(20_000).select((F.col("id") % 400).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    got = {r["g"]: (r["n"], r["value"]) for r in percentiles(sketches(df, ["g"], {"v": F.col("v")}), ["g"], [0.5]).collect()}
+    assert got == {str(g): (50, float(g + 400 * 24)) for g in range(400)}
