@@ -19,10 +19,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarloom.functions.text import compared
+from sonarloom.operators.skew import for_parts, hot_keys, in_parts, skew_join
 from sonarloom.session import cut
 
 LEVELS, NEED, TOLERANCE = 24, 20, 0.5
@@ -32,7 +33,9 @@ WIDTH = 2 * REACH + 0.005
 BANDS = [tuple(int(x) for x in b) for b in np.array_split(np.arange(LEVELS), LEVELS - NEED + 1)]
 #: Leading steps that make the bucket of a band.
 LEADING = 2
-#: Candidates verified at a time; training excerpts of one bucket that one task takes; rows a task.
+#: Cells of a step: those beyond share the outermost. So there are at most len(BANDS) * CELLS ** LEADING buckets, 327,680.
+CELLS = 256
+#: Candidates verified at a time; excerpts of one side of a bucket that one task takes; rows a task.
 _CHUNK, HOT, ROWS = 1 << 20, 20_000, 250_000
 
 
@@ -56,36 +59,26 @@ def scan_rows(scan: DataFrame) -> DataFrame:
     )
 
 
-def _shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, side, levels) -> a row for each band and bucket: one for train, every probe for eval."""
-    for batch in rows:
-        n = batch.num_rows
-        if not n:
-            continue
-        levels = batch.column(2).values.to_numpy(zero_copy_only=False).astype(np.float64)[batch.column(2).offsets.to_numpy()[0] :].reshape(-1, LEVELS)[:n]
-        evaluated = np.array(batch.column(1).to_pylist()) == "eval"
-        picks, buckets = [], []
+def _buckets(levels: Column, evaluated: Column) -> Column:
+    """The buckets of a level vector: one for each clean band for train, every probe for eval."""
+
+    def keys(shifts: list[tuple[int, ...]]) -> Column:
+        found = []
         for b, band in enumerate(BANDS):
-            steps = np.diff(levels[:, band[: LEADING + 1]], axis=1)
-            clean = np.isfinite(levels[:, band]).all(1)
-            cells = []
-            for side, shifts in ((~evaluated, [(0,) * LEADING]), (evaluated, list(product((-1, 1), repeat=LEADING)))):
-                at = np.flatnonzero(clean & side)
-                for shift in shifts:
-                    cells.append((at, np.floor((steps[at] + REACH * np.array(shift)) / WIDTH).astype(np.int64)))
-            for at, cell in cells:
-                key = np.full(len(at), b, np.int64)
-                for j in range(LEADING):
-                    key = key * 4096 + np.clip(cell[:, j] + 2048, 0, 4095)
-                picks.append(at)
-                buckets.append(key)
-        pick = np.concatenate(picks) if picks else np.zeros(0, np.int64)
-        bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-        # Both probes of a step can fall into one bucket: keep it once.
-        _, once = np.unique(np.stack([pick, bucket], 1), axis=0, return_index=True) if len(pick) else (None, np.zeros(0, np.int64))
-        pick, bucket = pick[once], bucket[once]
-        taken = batch.take(pa.array(pick))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), taken.column(0), pa.array(evaluated[pick]), taken.column(2)], names=["bucket", "class", "evaluated", "levels"])
+            at = [levels[p].cast("double") for p in band]
+            clean = at[0].isNotNull()
+            for x in at[1:]:
+                clean = clean & x.isNotNull()
+            for shift in shifts:
+                key = F.lit(b).cast("long")
+                for j, s in enumerate(shift):
+                    cell = F.floor((at[j + 1] - at[j] + s * REACH) / WIDTH)
+                    key = key * CELLS + F.greatest(F.lit(0).cast("long"), F.least(F.lit(CELLS - 1).cast("long"), cell + CELLS // 2))
+                found.append(F.when(clean, key))
+        # Both probes of a step can fall into one bucket: it is kept once.
+        return F.array_compact(F.array_distinct(F.array(*found)))
+
+    return F.when(evaluated, keys(list(product((-1, 1), repeat=LEADING)))).otherwise(keys([(0,) * LEADING]))
 
 
 def near(difference: np.ndarray) -> np.ndarray:
@@ -105,10 +98,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     levels = rows["levels"].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, LEVELS)
     most = max(map(len, BANDS))
     positions = np.array([[*band, *[band[-1]] * (most - len(band))] for band in BANDS])
-    own = np.take_along_axis(levels, positions[bucket >> (12 * LEADING)], axis=1)
+    own = np.take_along_axis(levels, positions[bucket // CELLS**LEADING], axis=1)
     steps = np.diff(own, axis=1)
     middle = steps[:, LEADING]
-    short = np.array([len(band) < most for band in BANDS])[bucket >> (12 * LEADING)]
+    short = np.array([len(band) < most for band in BANDS])[bucket // CELLS**LEADING]
     last = np.where(short, middle, steps[:, -1])
     # Within a bucket, training rows lie by the cell of the middle step, then by the last step:
     # the partners of an evaluation row are one stretch for each of the two cells it may find them in.
@@ -137,25 +130,35 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = count[i:j]
             a, t = np.repeat(probing[i:j], n), train[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[i:j], n)]
             i = j
-            keep = np.flatnonzero(np.ptp(own[a] - own[t], axis=1) <= 2 * TOLERANCE + slack)  # the band drops nearly all
+            off = own[a] - own[t]
+            most_off, least_off = off.max(1), off.min(1)
+            keep = np.flatnonzero(most_off - least_off <= 2 * TOLERANCE + slack)  # the band drops nearly all
+            # All clean positions lie within one span with the band's: of the rest, this drops nearly all again.
+            all_off = levels[a[keep]] - levels[t[keep]]
+            with np.errstate(invalid="ignore"):
+                inside = (all_off >= most_off[keep, None] - (2 * TOLERANCE + slack)) & (all_off <= least_off[keep, None] + (2 * TOLERANCE + slack))
+            keep = keep[inside.sum(1) >= NEED]
             keep = keep[near(levels[a[keep]].astype(np.float64) - levels[t[keep]])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]], pa.int64()), pa.array(ids[t[keep]], pa.int64())], names=["a", "b"])
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
-    """Near pairs (a: eval class, b: train class) of distinct level vectors. classes: class, side, levels."""
-    shingled = cut(classes.select("class", "side", "levels").mapInArrow(_shingles, "bucket long, class long, evaluated boolean, levels array<float>"), "shingles")
-    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingled.count() // ROWS))
-    # A bucket that many training excerpts share is cut into salted parts; its probes go to each.
-    crowded = shingled.filter(~F.col("evaluated")).groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
-    crowded = cut(crowded, "crowded")
-    n = crowded.count()  # at most a bucket for HOT rows
-    if n:
-        salted = shingled.join(F.broadcast(crowded) if n < 100_000 else crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        salts = F.when(F.col("evaluated"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")))
-        spread = salted.select("bucket", "class", "evaluated", "levels", F.explode(salts).alias("salt"))
-    else:
-        spread = shingled.withColumn("salt", F.lit(0))
+    """Near pairs (a: eval class, b: train class) of distinct level vectors. classes: class, side, levels.
+
+    A bucket that many excerpts share, on either side, is cut into parts of HOT rows of a side; every
+    part of the one side meets every part of the other, so no task holds more than two of them.
+    """
+    sided = classes.select("class", (F.col("side") == "eval").alias("evaluated"), "levels")
+    shingled = sided.withColumn("bucket", F.explode(_buckets(F.col("levels"), F.col("evaluated"))))
+    counts = cut(shingled.groupBy("bucket").agg(F.count_if(~F.col("evaluated")).alias("trains"), F.count_if("evaluated").alias("evals")), "buckets")
+    parts = counts.select("bucket", F.ceil(F.col("trains") / HOT).cast("int").alias("pt"), F.ceil(F.col("evals") / HOT).cast("int").alias("pe"))
+    rows = counts.join(parts, "bucket").agg(F.coalesce(F.sum(F.col("trains") * F.col("pe") + F.col("evals") * F.col("pt")), F.lit(0))).head()[0]
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+    own, other = F.when(F.col("evaluated"), F.col("pe")).otherwise(F.col("pt")), F.when(F.col("evaluated"), F.col("pt")).otherwise(F.col("pe"))
+    # A bucket that one side lacks leaves here.
+    placed = shingled.join(F.broadcast(parts.filter("pt > 0 and pe > 0")), "bucket").withColumn("_own", F.pmod(F.xxhash64("class"), own).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), other - 1)))
+    salt = F.when(F.col("evaluated"), F.col("_other") * F.col("pe") + F.col("_own")).otherwise(F.col("_own") * F.col("pe") + F.col("_other"))
+    spread = placed.select("bucket", "class", "evaluated", "levels", salt.alias("salt"))
     return spread.repartition(tasks, "bucket", "salt").mapInArrow(_verified, "a long, b long").distinct()
 
 
@@ -165,16 +168,26 @@ def cross_split_overlaps(scan: DataFrame) -> DataFrame:
     same: the digests are equal; else the excerpts are near. One row per pair and (split, genre) in
     which its evaluation file was scanned. A file is never paired with itself. Files with equal
     excerpts form a class: buckets and verification see one of each class, and only confirmed
-    links are expanded. Null digests equal nothing. An empty scan gives no pairs.
+    links are expanded, copies without number over parts. Null digests equal nothing. An empty scan gives no pairs.
     """
     rows = cut(scan_rows(scan).distinct(), "scan-rows")
     vectors = rows.filter(F.col("levels").isNotNull()).groupBy("side", "levels").agg(F.min(F.xxhash64("side", "levels")).alias("class"))
     linked = near_classes(vectors)
-    keyed = rows.withColumn("class", F.xxhash64("side", "levels")).drop("levels")
-    evals = keyed.filter(F.col("side") == "eval").select(F.col("file_id").alias("eval_file"), "split", "genre", F.col("md5").alias("md5"), F.col("class").alias("a"))
-    trains = keyed.filter(F.col("side") == "train").select(F.col("file_id").alias("train_file"), "md5", F.col("class").alias("b")).distinct()
-    same = evals.filter(F.col("md5").isNotNull()).join(trains.filter(F.col("md5").isNotNull()), "md5").select("eval_file", "train_file", "split", "genre", F.lit(True).alias("same"))
-    close = linked.join(evals, "a").join(trains.select("train_file", "b"), "b").select("eval_file", "train_file", "split", "genre", F.lit(False).alias("same"))
+    # m stands for the digest where only its crowd matters.
+    keyed = rows.withColumn("class", F.when(F.col("levels").isNotNull(), F.xxhash64("side", "levels"))).withColumn("m", F.when(F.col("md5").isNotNull(), F.xxhash64("md5"))).drop("levels")
+    hot = cut(hot_keys(cut(keyed.select(F.explode(F.array_compact(F.array("m", "class"))).alias("k")).groupBy("k").agg(F.count("*").alias("n")), "copies"), ["k"]), "hot-copies")
+    evals = keyed.filter(F.col("side") == "eval").select(F.col("file_id").alias("eval_file"), "split", "genre", "md5", "m", F.col("class").alias("a"))
+    trains = keyed.filter(F.col("side") == "train").select(F.col("file_id").alias("train_file"), "md5", "m", F.col("class").alias("b")).distinct()
+
+    def named(k: str) -> DataFrame:
+        return hot.withColumnRenamed("k", k)
+
+    def joined(left: DataFrame, right: DataFrame, key: str, on: list[str]) -> DataFrame:
+        return for_parts(left, named(key), [key]).join(in_parts(right, named(key), [key], ["train_file"]).drop(*[c for c in right.columns if c in left.columns and c not in on]), [*on, "_part"])
+
+    same = joined(evals.filter(F.col("md5").isNotNull()), trains.filter(F.col("md5").isNotNull()), "m", ["md5"]).select("eval_file", "train_file", "split", "genre", F.lit(True).alias("same"))
+    one = skew_join(evals.select("eval_file", "split", "genre", "a").filter(F.col("a").isNotNull()), linked, named("a"), ["a"], ["eval_file"])
+    close = joined(one, trains.select("train_file", "b").filter(F.col("b").isNotNull()), "b", ["b"]).select("eval_file", "train_file", "split", "genre", F.lit(False).alias("same"))
     least, most = F.least("eval_file", "train_file"), F.greatest("eval_file", "train_file")
     return (
         same.unionByName(close).filter(F.col("eval_file") != F.col("train_file"))

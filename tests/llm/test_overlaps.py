@@ -51,12 +51,24 @@ def test_against_brute_force(spark):
     assert ("edge", "near") in brute(rows) and ("edge", "over") not in brute(rows)
 
 
-def test_hot_bucket_is_salted(spark, monkeypatch):
+def test_hot_buckets_and_copies(spark, monkeypatch):
+    """Buckets crowded on either side or both, and copies that hold half of all rows: the same pairs."""
     monkeypatch.setattr(O, "HOT", 3)
+    monkeypatch.setattr("sonarloom.operators.skew.LEAST", 4)
     rng = random.Random(9)
     base = [rng.gauss(-30, 6) for _ in range(24)]
-    rows = [(f"{s[0]}{i}", s, "g", None, True, [v + rng.uniform(-0.2, 0.2) for v in base], "", 0) for s in ("train", "val") for i in range(20)]
-    assert O.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).count() == 400
+    for trains, evals in ((20, 20), (2, 40), (40, 2)):
+        rows = [(f"{s[0]}{i}", s, "g", f"h{i % 2}", True, [v + rng.uniform(-0.2, 0.2) for v in base] if i % 2 else base, "", 0) for s, n in (("train", trains), ("val", evals)) for i in range(n)]
+        got = O.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert len(got) == len({(r["file_id_a"], r["file_id_b"]) for r in got}) == trains * evals
+        assert sum(r["same"] for r in got) == trains * evals / 2
+
+
+def test_cells_beyond_the_range(spark):
+    """Steps of hundreds of dB share the outermost cells and are still found."""
+    base = [0.0, -500.0, 900.0, 0.0, 700.0] * 4 + [1.0, 2.0, 3.0, 4.0]
+    rows = [("t", "train", "g", None, True, base, "", 0), ("e", "val", "g", None, True, [v + 7.25 for v in base], "", 0)]
+    assert O.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).count() == 1
 
 
 def test_empty(spark):
