@@ -18,15 +18,19 @@ def from_mapping(kind: type[T], values: dict[str, Any]) -> T:
     return kind(**values)
 
 
-def load(kind: type[T], path: str, section: str | None = None) -> T:
-    """From a JSON file, or a YAML file where a YAML library is installed."""
+def read_mapping(path: str) -> dict[str, Any]:
+    """Of a JSON file, or a YAML file where a YAML library is installed."""
     text = Path(path).read_text()
     if path.endswith((".yaml", ".yml")):
         import yaml
 
-        values = yaml.safe_load(text)
-    else:
-        values = json.loads(text)
+        return yaml.safe_load(text)
+    return json.loads(text)
+
+
+def load(kind: type[T], path: str, section: str | None = None) -> T:
+    """Settings of a file, or of one section of it."""
+    values = read_mapping(path)
     return from_mapping(kind, values[section] if section else values)
 
 

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda it would be computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _sum(x: Column) -> Column:
@@ -48,12 +58,12 @@ def share_over(x: Column, level: float) -> Column:
 
 
 def dc_removed(x: Column) -> Column:
-    return F.transform(x, lambda v: v - mean(x))
+    return _let(mean(x), lambda m: F.transform(x, lambda v: v - m))
 
 
 def peak_clamped(x: Column, ceiling: float, target: float) -> Column:
     """Scaled down to target, only where the peak is over ceiling."""
-    return F.when(peak(x) > ceiling, F.transform(x, lambda v: v * target / peak(x))).otherwise(x)
+    return _let(peak(x), lambda p: F.when(p > ceiling, F.transform(x, lambda v: v * target / p)).otherwise(x))
 
 
 def downmixed(left: Column, right: Column) -> Column:
@@ -88,12 +98,91 @@ def correlation(x: Column, y: Column) -> Column:
     return F.coalesce(r, F.when(x == y, 1.0).otherwise(0.0))
 
 
-def lag(x: Column, y: Column, most: int) -> Column:
-    """Shift of y against x with the largest inner product, within +-most; ties to the smallest shift."""
-    n = F.size(x)
+def _best_lag(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
+    """The inner products of all shifts at once, by FFT."""
+    n = min(len(x), len(y))
+    if not n:
+        return None
+    x, y, most = x[:n], y[:n], min(most, n - 1)
+    size = 1 << (2 * n - 1).bit_length()
+    products = np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)
+    shifts = np.array(sorted(range(-most, most + 1), key=lambda k: (abs(k), -k)))
+    return int(shifts[np.argmax(np.round(products[shifts], 9))])
+
+
+def lag(x: Column, y: Column, most: int, probe: int | None = None) -> Column:
+    """Shift of y against x with the largest inner product, within +-most; ties to the smallest shift, then to the positive.
+
+    probe: only so many values around the middle are compared. Arrays of different length are compared as far as both go.
+    """
+
+    @F.pandas_udf(IntegerType())
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(xs, ys):
+            if a is None or b is None:
+                out.append(None)
+                continue
+            a, b = np.asarray(a, float), np.asarray(b, float)
+            n = min(len(a), len(b))
+            first = max(0, (n - probe) // 2) if probe else 0
+            last = min(n, first + probe) if probe else n
+            out.append(_best_lag(a[first:last], b[first:last], most))
+        return pd.Series(out, dtype="Int32")
+
+    return run(x, y)
+
+
+@F.pandas_udf(StringType())
+def sample_digest(x: pd.Series) -> pd.Series:
+    """md5 of the values' bytes, as 32-bit floats; null where all values are equal, as silence is no content."""
+    import hashlib
+
+    def one(v) -> str | None:
+        if v is None:
+            return None
+        v = np.asarray(v, "<f4")
+        return hashlib.md5(v.tobytes()).hexdigest() if len(v) and (v != v[0]).any() else None
+
+    return x.map(one)
+
+
+def decimated(x: Column, every: int) -> Column:
+    """Every so manieth value, from the first."""
+    return F.filter(x, lambda _, i: i % every == 0)
+
+
+def centred(x: Column, size: int) -> Column:
+    """`size` values around the middle; all of a shorter array."""
+    return F.slice(x, F.greatest(F.lit(1), F.floor((F.size(x) - size) / 2).cast("int") + 1), size)
+
+
+def picked_channel(channels: Column, which: int = 0) -> Column:
+    """One channel of an array of channels, as an array of one."""
+    return F.slice(channels, which + 1, 1)
+
+
+def to_stereo(channels: Column) -> Column:
+    """Mono twice, anything else as it is."""
+    return F.when(F.size(channels) == 1, F.concat(channels, channels)).otherwise(channels)
+
+
+def swapped(channels: Column) -> Column:
+    return F.reverse(channels)
+
+
+def close_to(x: Column, y: Column, absolute: float = 1e-8, relative: float = 1e-5) -> Column:
+    """Whether all values of x are those of y, but for absolute + relative x |y|."""
+    return (F.size(x) == F.size(y)) & F.forall(F.arrays_zip(x.alias("a"), y.alias("b")), lambda z: F.abs(z["a"] - z["b"]) <= absolute + relative * F.abs(z["b"]))
+
+
+def mono_envelope_db(channels: Column, rate: int, block_s: float = 0.1, floor: float = 1e-12) -> Column:
+    """Levels of whole blocks of the mean of all channels, in dB; amplitudes below floor count as it."""
+    size = max(1, round(block_s * rate))
+    mono = F.transform(channels[0], lambda _, i: _sum(F.transform(channels, lambda c: F.get(c, i))) / F.size(channels))
+    return _let(mono, lambda x: F.when(F.size(x) >= size, F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / size).cast("int") - 1), lambda b: 20 * F.log10(F.greatest(F.lit(floor), rms(F.slice(x, b * size + 1, size)))))).otherwise(F.array().cast("array<double>")))
 
-    def at(k: Column) -> Column:
-        a, b = F.slice(x, F.greatest(F.lit(1), 1 - k), n - F.abs(k)), F.slice(y, F.greatest(F.lit(1), 1 + k), n - F.abs(k))
-        return F.struct(F.round(dot(a, b), 9).alias("v"), (-F.abs(k)).alias("near"), k.alias("k"))
 
-    return F.array_max(F.transform(F.sequence(F.lit(-most), F.lit(most)), at))["k"]
+def prefix_energy(x: Column) -> Column:
+    """Running sums of squares, from 0: the energy of any window is the difference of two of them."""
+    return F.aggregate(x, F.array(F.lit(0.0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v * v)))

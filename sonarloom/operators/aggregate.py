@@ -2,25 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarloom.operators.skew import same
+from sonarloom.session import cut
 
-def class_loss(df: DataFrame, group: str, value: str, cut: float) -> DataFrame:
-    """Per group: what a minimum of `cut` would cost. Equal to cut is kept; null values do not count."""
-    v, below = F.col(value), F.col(value) < cut
+
+def exact_percentiles(df: DataFrame, group: list[str], value: Column, shares: dict[str, float], count: str = "_n") -> DataFrame:
+    """Per group exact percentiles with linear interpolation, as columns named by shares, and the number of values.
+
+    For groups of any size: equal values are counted first, then ranged by (group, value); every stretch
+    sums its counts, the small sums are accumulated, and each share takes its two neighbours by rank. No
+    task sees a whole group, and none holds its values. Nulls are no values; groups without any have no row.
+    """
+    cells = df.select(*group, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+    # Written, as the bounds of a range partitioning are sampled anew each time it is run.
+    ranged = cut(cells.repartitionByRange(*group, "_v").withColumn("_p", F.spark_partition_id()), "ranged-values")
+    sums = ranged.groupBy(*group, "_p").agg(F.sum("_c").alias("_s"))
+    across = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_s").over(across.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*group, "_p", before.alias("_o"), F.sum("_s").over(across).alias(count))
+    within = ranged.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group, "_p").orderBy("_v")))
+    placed = within.join(offsets, same(within, offsets, [*group, "_p"])).select(*[within[g] for g in group], "_v", (F.col("_o") + F.col("_upto")).alias("_last"), (F.col("_o") + F.col("_upto") - F.col("_c")).alias("_first"), count)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_last")), F.col("_v")))
+
+    sides = [c for name, share in shares.items() for c in (at(F.floor((F.col(count) - 1) * share)).alias(f"_lo_{name}"), at(F.ceil((F.col(count) - 1) * share)).alias(f"_hi_{name}"))]
+    found = placed.groupBy(*group, count).agg(*sides)
+
+    def between(name: str, share: float) -> Column:
+        place = (F.col(count) - 1) * share
+        low, high = F.floor(place), F.ceil(place)
+        return F.when(low == high, F.col(f"_lo_{name}")).otherwise((high - place) * F.col(f"_lo_{name}") + (place - low) * F.col(f"_hi_{name}"))
+
+    return found.select(*group, count, *[between(n, p).alias(n) for n, p in shares.items()])
+
+
+def with_percentiles(df: DataFrame, aggregated: DataFrame, group: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """Adds exact percentiles of df's value to a table with one row per group."""
+    found = exact_percentiles(df, group, value, shares)
+    joined = aggregated.join(found, same(aggregated, found, group), "left") if group else aggregated.join(F.broadcast(found))
+    return joined.select(*[aggregated[c] for c in aggregated.columns], *shares)
+
+
+def class_loss(df: DataFrame, group: str, value: str, limit: float) -> DataFrame:
+    """Per group: what a minimum of `limit` would cost. Equal to it is kept; null values do not count."""
+    v, below = F.col(value), F.col(value) < limit
     lost = F.coalesce(F.sum(F.when(below, v)), F.lit(0.0))
-    return (
+    sums = (
         df.groupBy(group)
         .agg(
-            F.count(v).alias("files"), F.round(F.sum(v) / 3600, 4).alias("total_hours"), F.round(F.median(v), 4).alias("median_seconds"),
+            F.count(v).alias("files"), F.round(F.sum(v) / 3600, 4).alias("total_hours"),
             F.count_if(below).alias("files_below"), F.round(F.try_divide(F.count_if(below), F.count(v)), 6).alias("frac_files_below"),
             F.round(lost / 3600, 4).alias("hours_below"), F.round(F.try_divide(lost, F.sum(v)), 6).alias("frac_hours_below"),
-            F.round(F.coalesce(F.sum(F.when(v >= cut, v)), F.lit(0.0)) / 3600, 4).alias("hours_kept"),
+            F.round(F.coalesce(F.sum(F.when(v >= limit, v)), F.lit(0.0)) / 3600, 4).alias("hours_kept"),
         )
         .filter(F.col("files") > 0)
-        .orderBy(F.desc("frac_hours_below"), group)
     )
+    return with_percentiles(df, sums, [group], v, {"median_seconds": 0.5}).withColumn("median_seconds", F.round("median_seconds", 4)).orderBy(F.desc("frac_hours_below"), group)
 
 
 def cumulative_below(df: DataFrame, group: list[str], value: str, thresholds: list[float]) -> DataFrame:

@@ -22,6 +22,17 @@ def trajectory(rows: DataFrame, metric: str) -> DataFrame:
     return epochs.select("epoch", "score", (F.col("score") - F.lag("score").over(w)).alias("delta"), best.alias("best"), (F.col("score") == best).alias("is_best"))
 
 
+def trends(scores: DataFrame, order: str, score: str, last: int) -> DataFrame:
+    """Adds delta, best (so far), is_best, streak (bests in a row, up to this one) and slope (per evaluation, over the last ones). A row per evaluation: few."""
+    w = Window.partitionBy().orderBy(order)
+    best, place = F.max(score).over(w), F.row_number().over(w)
+    marked = scores.withColumn("delta", F.col(score) - F.lag(score).over(w)).withColumn("best", best).withColumn("is_best", F.col(score) == best).withColumn("_k", place)
+    lost = marked.withColumn("_lost", F.sum(F.when(F.col("is_best"), 0).otherwise(1)).over(w))
+    row = F.row_number().over(Window.partitionBy("_lost", "is_best").orderBy(order))
+    slope = F.regr_slope(score, "_k").over(w.rowsBetween(1 - last, 0))
+    return lost.withColumn("streak", F.when(F.col("is_best"), row).otherwise(0)).withColumn("slope", slope).drop("_k", "_lost")
+
+
 def best_epoch(scores: DataFrame) -> DataFrame:
     """The epoch with the highest score (the earliest of ties), and the last one."""
     return scores.agg(F.max_by("epoch", F.struct("score", -F.col("epoch"))).alias("best_epoch"), F.max("score").alias("best_score"), F.max("epoch").alias("last_epoch"))

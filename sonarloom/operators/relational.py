@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarloom.functions.text import nfc
+from sonarloom.operators.aggregate import exact_percentiles
 
 
 # Correlations from which two channels count as one, alike or opposite.
@@ -25,6 +26,11 @@ def file_id(dataset: Column, path: Column) -> Column:
     return F.concat(dataset, F.lit(":"), F.when(F.size(parts) <= 2, F.element_at(parts, -1)).otherwise(F.array_join(F.slice(parts, 3, F.size(parts)), "/")))
 
 
+def short_name(name: Column, prefix: Column) -> Column:
+    """What follows the prefix, or else the last part between underscores."""
+    return F.when(F.startswith(name, prefix), F.substring(name, F.length(prefix) + 1, F.length(name))).otherwise(F.element_at(F.split(name, "_"), -1))
+
+
 def output_path(by_song: Column, root: Column, song: Column, source: Column) -> Column:
     """root/song/name where files are kept by song, else root/name."""
     name = F.element_at(F.split(source, "/"), -1)
@@ -33,8 +39,8 @@ def output_path(by_song: Column, root: Column, song: Column, source: Column) ->
 
 def iqr_fence(df: DataFrame, group: list[str], value: str, times: float) -> DataFrame:
     """Upper fence per group: p75 + times x (p75 - p25), exact."""
-    p = df.groupBy(*group).agg(F.percentile(value, [0.25, 0.75]).alias("p"))
-    return p.select(*group, (F.col("p")[1] + times * (F.col("p")[1] - F.col("p")[0])).alias("fence"))
+    p = exact_percentiles(df, group, F.col(value), {"_q1": 0.25, "_q3": 0.75})
+    return p.select(*group, (F.col("_q3") + times * (F.col("_q3") - F.col("_q1"))).alias("fence"))
 
 
 def dedupe_latest(df: DataFrame, key: list[str], newest: list[str], oldest: list[str] | None = None) -> DataFrame:
@@ -61,3 +67,35 @@ def lookup_strict(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
     marked = left.join(right.withColumn("_hit", F.lit(True)), on, "left")
     hit = F.coalesce("_hit", F.raise_error(F.concat(F.lit("no entry for "), F.to_json(F.struct(*on)))).cast("boolean"))
     return marked.filter(hit).drop("_hit")
+
+
+def lookup_default(left: DataFrame, right: DataFrame, on: list[str], column: str, default: Column) -> DataFrame:
+    """Left join to one column of a dimension; rows without an entry, or with a null one, get the default. A repeated key takes its greatest value."""
+    once = right.groupBy(*on).agg(F.max(column).alias(column))
+    return left.join(once, on, "left").withColumn(column, F.coalesce(F.col(column), default))
+
+
+def with_files(keys: DataFrame, files: DataFrame, key: str, name: Column) -> DataFrame:
+    """The keys for which the listing (column path) holds a file of that name: existence, not a join that repeats rows."""
+    there = files.select(name.alias(key)).distinct()
+    return keys.join(there, key, "left_semi")
+
+
+def in_order_of(rows: DataFrame, order: DataFrame, on: list[str], position: str) -> DataFrame:
+    """Rows put back in the order of another table, by its column `position`; rows it lacks come last, by key."""
+    return rows.join(order.select(*on, position), on, "left").orderBy(F.asc_nulls_last(position), *on)
+
+
+def slotted(rows: DataFrame, column: str, slots: list[str], trained: list[str] | None = None) -> DataFrame:
+    """Adds slot: the place of the column's value in a stated list, which must equal the list trained with, in order. Other values have none."""
+    if trained is not None and list(trained) != list(slots):
+        raise ValueError(f"slots {slots} are not those of training, {trained}")
+    places = rows.sparkSession.createDataFrame([(s, i) for i, s in enumerate(slots)], f"{column} string, slot int")
+    return rows.join(F.broadcast(places), column, "left")
+
+
+def complete_map(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per key with its value; a key without a value, or with two, raises when run."""
+    once = rows.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("_z"))
+    good = F.when((F.col(value) == F.col("_z")), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("not one value for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(once.schema[value].dataType))
+    return once.select(key, good.alias(value))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarloom.operators.prefix import random_rank
+from sonarloom.operators.skew import hot_keys, skew_join
+from sonarloom.session import cut
+
 
 def uniform_md5(*parts: Column) -> Column:
     """A double in [0, 1) from the md5 of the parts joined by '/': other engines can give the same."""
@@ -18,25 +22,34 @@ def uniform_md5_sql(*parts: str) -> str:
 def stratified_split(df: DataFrame, stratum: str, key: str, test: float, val: float, seed: int) -> DataFrame:
     """Adds split: per stratum round(test x n) records, then round(val x n), the rest for train.
 
-    Both at least 1 where n allows, and never the whole stratum. Strata are bounded groups of songs.
+    Both at least 1 where n allows, and never the whole stratum. Strata may be of any size: ranks go by
+    buckets, and a hot stratum's rows meet its size by parts. A null stratum is one of its own.
     """
-    w = Window.partitionBy(stratum)
-    n, rank = F.count("*").over(w), F.row_number().over(w.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), key)), key))
-    n_test = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * test)), F.col("_n") - 2))
-    n_val = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * val)), F.col("_n") - F.col("_t") - 1))
+    key_of = F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("-"))
+    marked = df.withColumn("_g", key_of)
+    sizes = cut(marked.groupBy("_g").agg(F.count("*").alias("n")), "strata")
+    ranked = random_rank(marked, ["_g"], [key], seed, "_r", u=uniform_md5(F.lit(str(seed)), F.col(key)))
+    n = F.col("_n")
+    n_test = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), F.bround(n * test)), n - 2))
+    n_val = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), F.bround(n * val)), n - F.col("_t") - 1))
     return (
-        df.withColumn("_n", n).withColumn("_r", rank).withColumn("_t", n_test).withColumn("_v", n_val)
+        skew_join(ranked, sizes.withColumnRenamed("n", "_n"), hot_keys(sizes, ["_g"]), ["_g"], [key]).withColumn("_t", n_test).withColumn("_v", n_val)
         .withColumn("split", F.when(F.col("_r") <= F.col("_t"), "test").when(F.col("_r") <= F.col("_t") + F.col("_v"), "val").otherwise("train"))
-        .drop("_n", "_r", "_t", "_v")
+        .select(*[c for c in df.columns if c != "split"], "split")
     )
 
 
+#: Values of a distribution that is drawn from: more is no stated distribution.
+MAX_CHOICES = 10_000
+
+
 def weighted_draw(draws: DataFrame, u: str, choices: DataFrame, value: str, weight: str) -> DataFrame:
     """For each draw the value in whose stretch of the cumulative weights u falls. choices: a small distribution."""
     w = Window.partitionBy().orderBy(value)
     upto = F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy())
     stretches = choices.select(value, (upto - F.col(weight) / F.sum(weight).over(Window.partitionBy())).alias("_a"), upto.alias("_b"), (F.row_number().over(w) == F.count("*").over(Window.partitionBy())).alias("_last"))
-    rows = F.broadcast(stretches.agg(F.array_sort(F.collect_list(F.struct("_b", "_last", value))).alias("_s")))
+    few = F.when(F.count("*") <= MAX_CHOICES, F.array_sort(F.collect_list(F.struct("_b", "_last", value)))).otherwise(F.raise_error(F.lit(f"over {MAX_CHOICES} choices")))
+    rows = F.broadcast(stretches.limit(MAX_CHOICES + 1).agg(few.alias("_s")))
     hit = F.filter("_s", lambda s: (F.col(u) < s["_b"]) | s["_last"])
     return draws.join(rows).withColumn(value, F.get(hit, F.lit(0))[value]).drop("_s")
 

@@ -88,10 +88,15 @@ def gaps(found: DataFrame) -> DataFrame:
 
 def undershoot(blocks: DataFrame, rules: SegmentRules) -> DataFrame:
     """Series whose segments cover less than their open blocks less the short runs: always empty."""
+    return cover_balance(blocks, rules).filter(~F.col("ok")).drop("ok")
+
+
+def cover_balance(blocks: DataFrame, rules: SegmentRules) -> DataFrame:
+    """Of each series: raw (open blocks), allowed (blocks of short runs), covered (by segments), ok: covered is never under raw - allowed."""
     raw = blocks.groupBy("series").agg(F.count_if(F.col("db") >= rules.open_db).alias("raw"))
     short = runs(blocks, F.col("db") > rules.close_db).filter(F.col("end") - F.col("start") < rules.min_length).groupBy("series").agg(F.sum(F.col("end") - F.col("start")).alias("allowed"))
     covered = segments(blocks, rules).groupBy("series").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
-    return raw.join(short, "series", "left").join(covered, "series", "left").fillna(0).filter(F.col("covered") < F.col("raw") - F.col("allowed"))
+    return raw.join(short, "series", "left").join(covered, "series", "left").fillna(0).withColumn("ok", F.col("covered") >= F.col("raw") - F.col("allowed"))
 
 
 def coverage(members: DataFrame, lengths: DataFrame, windows: dict[str, int]) -> DataFrame:
@@ -125,9 +130,11 @@ def longest_run(blocks: DataFrame, mask: Column) -> DataFrame:
 
 
 def loudest_window(samples: DataFrame, size: int, hop: int) -> DataFrame:
-    """Start of the full window with the most energy, starts being multiples of hop; 0 if none is full. Ties: the earliest."""
+    """Start of the full window with the most energy, starts being multiples of hop; 0 if none is full. Ties: the earliest.
+
+    Window energies are differences of one running sum of squares: linear in the samples, whatever the size.
+    """
     w = Window.partitionBy("series").orderBy("i")
-    energy = F.sum(F.col("x") * F.col("x")).over(w.rowsBetween(0, size - 1))
-    full = F.count("*").over(w.rowsBetween(0, size - 1)) == size
-    best = samples.withColumn("energy", energy).withColumn("full", full).filter("full").filter(F.col("i") % hop == 0).groupBy("series").agg(F.max_by("i", F.struct(F.round("energy", 6), -F.col("i"))).alias("start"))
-    return samples.select("series").distinct().join(best, "series", "left").select("series", F.coalesce("start", F.lit(0)).alias("start"))
+    upto = samples.withColumn("_upto", F.sum(F.col("x") * F.col("x")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = upto.withColumn("_end", F.lead("_upto", size - 1).over(w)).withColumn("energy", F.col("_end") - F.col("_upto") + F.col("x") * F.col("x"))
+    return placed.groupBy("series").agg(F.coalesce(F.max_by("i", F.when(F.col("_end").isNotNull() & (F.col("i") % hop == 0), F.struct(F.round("energy", 6), -F.col("i")))), F.lit(0)).alias("start"))

@@ -22,6 +22,12 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of left and right, which may come from one table, with nulls equal; gives left's columns and the rest of right's."""
+    equal = reduce(and_, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
+    return left.alias("_l").join(right.alias("_r"), equal, how).select("_l.*", *[F.col(f"_r.{c}") for c in right.columns if c not in keys])
+
+
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Of a stored table of keys and their numbers of rows, the hot ones: keys, parts. At most 1 / SHARE rows."""
     total = counts.agg(F.sum(n)).head()[0] or 0

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonarloom.operators.aggregate import class_loss, cumulative_below, tiered_reference
+from sonarloom.operators.aggregate import class_loss, cumulative_below, exact_percentiles, tiered_reference, with_percentiles
 from sonarloom.plans.base import ENVELOPES, MANIFEST, SIGNALS, envelopes, manifest, registry, signals
-from sonarloom.session import table
+from sonarloom.session import cut, table
 
 QUERIES, SQL, query = registry()
 
@@ -41,12 +41,9 @@ SELECT dataset, count(seconds) AS files, round(sum(seconds) / 3600, 4) AS total_
 FROM m WHERE dataset IS NOT NULL GROUP BY dataset""")
 def pool_summary_percentiles(spark: SparkSession, d: str) -> DataFrame:
     shares = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    s = F.col("seconds")
-    return (
-        manifest(spark, d).filter(F.col("dataset").isNotNull()).groupBy("dataset")
-        .agg(F.count(s).alias("files"), F.round(F.sum(s) / 3600, 4).alias("total_hours"), F.round(F.avg(s), 4).alias("mean_seconds"), F.round(F.min(s), 4).alias("p0"), F.round(F.max(s), 4).alias("p100"), F.percentile(s, list(shares.values())).alias("p"))
-        .select("dataset", "files", "total_hours", "mean_seconds", "p0", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(shares)], "p100")
-    )
+    s, m = F.col("seconds"), manifest(spark, d).filter(F.col("dataset").isNotNull())
+    sums = m.groupBy("dataset").agg(F.count(s).alias("files"), F.round(F.sum(s) / 3600, 4).alias("total_hours"), F.round(F.avg(s), 4).alias("mean_seconds"), F.round(F.min(s), 4).alias("p0"), F.round(F.max(s), 4).alias("p100"))
+    return with_percentiles(m, sums, ["dataset"], s, shares).withColumns({n: F.round(n, 4) for n in shares})
 
 
 _T = f"(SELECT unnest({THRESHOLDS})::DOUBLE AS threshold)"
@@ -128,8 +125,10 @@ SELECT stem_group, round(sum(a), 4) AS active_h, round(sum(t), 4) AS total_h, ro
 def rollup_cell_to_class(spark: SparkSession, d: str) -> DataFrame:
     """Cells, then classes: ratio of sums, median of medians; missing cells are skipped."""
     clean = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("active_h", "total_h", "seg_p50_s")}
-    cells = table(spark, d, "activity_summary").withColumns(clean).groupBy("stem_group", "genre_sub").agg(F.sum("active_h").alias("a"), F.sum("total_h").alias("t"), F.median("seg_p50_s").alias("p"))
-    return cells.groupBy("stem_group").agg(F.round(F.sum("a"), 4).alias("active_h"), F.round(F.sum("t"), 4).alias("total_h"), F.round(F.sum("a") / F.sum("t"), 6).alias("active_frac"), F.round(F.median("p"), 4).alias("median_of_medians"))
+    cells = table(spark, d, "activity_summary").withColumns(clean).groupBy("stem_group", "genre_sub").agg(F.sum("active_h").alias("a"), F.sum("total_h").alias("t"))
+    cells = cut(with_percentiles(table(spark, d, "activity_summary").withColumns(clean), cells, ["stem_group", "genre_sub"], F.col("seg_p50_s"), {"p": 0.5}), "cells")
+    classes = cells.groupBy("stem_group").agg(F.round(F.sum("a"), 4).alias("active_h"), F.round(F.sum("t"), 4).alias("total_h"), F.round(F.sum("a") / F.sum("t"), 6).alias("active_frac"))
+    return with_percentiles(cells, classes, ["stem_group"], F.col("p"), {"median_of_medians": 0.5}).withColumn("median_of_medians", F.round("median_of_medians", 4))
 
 
 @query(_M + "SELECT dataset, role, count(*) AS n_rows, count(DISTINCT file_id) AS files, count(DISTINCT song_id) AS songs, round(sum(seconds) / 3600, 4) AS hours FROM m GROUP BY ALL")
@@ -143,17 +142,18 @@ SELECT dataset, role, round(avg(p), 6) AS mean_peak, round(min(p), 6) AS min_pea
   round(stddev_samp(r), 6) AS sd_rms, round(stddev_pop(r), 6) AS sdp_rms FROM q GROUP BY ALL""")
 def level_statistics(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "audio_qc").withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("peak", "rms")})
-    return q.groupBy("dataset", "role").agg(
+    sums = q.groupBy("dataset", "role").agg(
         F.round(F.avg("peak"), 6).alias("mean_peak"), F.round(F.min("peak"), 6).alias("min_peak"), F.round(F.max("peak"), 6).alias("max_peak"),
-        F.round(F.median("rms"), 6).alias("median_rms"), F.round(F.stddev_samp("rms"), 6).alias("sd_rms"), F.round(F.stddev_pop("rms"), 6).alias("sdp_rms"),
+        F.round(F.stddev_samp("rms"), 6).alias("sd_rms"), F.round(F.stddev_pop("rms"), 6).alias("sdp_rms"),
     )
+    return with_percentiles(q, sums, ["dataset", "role"], F.col("rms"), {"median_rms": 0.5}).withColumn("median_rms", F.round("median_rms", 6))
 
 
 @query(f"WITH {ENVELOPES} SELECT block, round(quantile_cont(db, 0.25), 4) AS p25, round(quantile_cont(db, 0.5), 4) AS p50, round(quantile_cont(db, 0.95), 4) AS p95 FROM env WHERE isfinite(db) GROUP BY block")
 def list_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles over a flattened list column."""
-    p = F.percentile("db", [0.25, 0.5, 0.95])
-    return envelopes(spark, d).filter("db is not null").groupBy("block").agg(p.alias("p")).select("block", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p95"))])
+    shares = {"p25": 0.25, "p50": 0.5, "p95": 0.95}
+    return exact_percentiles(envelopes(spark, d), ["block"], F.col("db"), shares).select("block", *[F.round(n, 4).alias(n) for n in shares])
 
 
 @query(_M + "SELECT dataset, round(avg(CASE WHEN out_channels = 1 THEN 1.0 ELSE 0.0 END), 6) AS share_mono FROM m WHERE out_channels IS NOT NULL GROUP BY dataset")
@@ -218,15 +218,42 @@ def shortest_member(spark: SparkSession, d: str) -> DataFrame:
     return manifest(spark, d).filter("song_id is not null and out_frames is not null").groupBy("song_id").agg(F.min("out_frames").alias("shortest"), F.count("*").alias("members")).filter("members > 1")
 
 
-@query(f"""
-WITH {SIGNALS}, p AS (SELECT label, x[1] AS a, x[2] AS b, x[3] AS y FROM s)
-SELECT label, round(sum(a * y) / nullif(sum(a * a), 0), 6) AS gain, round(sum(a * a), 4) AS aa, round(sum(a * b), 4) AS ab, round(sum(b * b), 4) AS bb, round(sum(a * y), 4) AS ay, round(sum(b * y), 4) AS by FROM p GROUP BY label""")
+_STEPS = f"{SIGNALS.strip()}, l AS (SELECT vec_id, label, unnest(range(1, len(x) - 1)) AS i, x FROM s), p AS (SELECT vec_id, label, x[i] AS a, x[i + 1] AS b, x[i + 2] AS y FROM l)\n"
+_GRAM = "SELECT label, sum(a * y) AS ay, sum(b * y) AS yb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM p GROUP BY label"
+
+
+def _gram(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of products of each value with the two after it, over whole signals."""
+    x = F.col("x")
+    steps = F.transform(F.sequence(F.lit(1), F.size(x) - 2), lambda i: F.struct(F.element_at(x, i).alias("a"), F.element_at(x, i + 1).alias("b"), F.element_at(x, i + 2).alias("y")))
+
+    def total(i: str, j: str):
+        return F.aggregate("steps", F.lit(0.0), lambda t, r: t + r[i] * r[j])
+
+    sums = {f"{i}{j}": total(i, j) for i, j in ("aa", "ab", "bb", "ay", "yb")}
+    own = signals(spark, d).filter(F.size(x) > 2).select("label", steps.alias("steps")).select("label", *[c.alias(n) for n, c in sums.items()])
+    return own.groupBy("label").agg(*[F.sum(n).alias(n) for n in sums])
+
+
+@query(f"WITH {_STEPS}, g AS ({_GRAM}) SELECT label, round(ay / nullif(aa, 0), 6) AS gain, round(aa, 4) AS aa, round(ab, 4) AS ab, round(bb, 4) AS bb, round(ay, 4) AS ay, round(yb, 4) AS yb FROM g")
 def gain_and_gram(spark: SparkSession, d: str) -> DataFrame:
-    """Through-origin gain, and the normal equations of a two-regressor fit."""
-    a, b, y = (F.get("x", F.lit(i)) for i in range(3))
-    p = signals(spark, d).select("label", a.alias("a"), b.alias("b"), y.alias("y"))
-    sums = {f"{i}{j}": F.round(F.sum(F.col(i) * F.col(j)), 4) for i, j in ("aa", "ab", "bb", "ay", "by")}
-    return p.groupBy("label").agg(F.round(F.try_divide(F.sum(F.col("a") * F.col("y")), F.nullif(F.sum(F.col("a") * F.col("a")), F.lit(0.0))), 6).alias("gain"), *[c.alias(n) for n, c in sums.items()])
+    """Through-origin gain of a value on the one two before it, and the normal equations of the fit on both."""
+    return _gram(spark, d).select("label", F.round(F.try_divide(F.col("ay"), F.nullif("aa", F.lit(0.0))), 6).alias("gain"), *[F.round(n, 4).alias(n) for n in ("aa", "ab", "bb", "ay", "yb")])
+
+
+@query(f"WITH {_STEPS}, g AS ({_GRAM}), r AS (SELECT label, aa + w AS aa, ab, bb + w AS bb, ay, yb FROM (SELECT *, 0.001 * (aa + bb) / 2 AS w FROM g)) SELECT label, round((ay * bb - yb * ab) / (aa * bb - ab * ab), 5) AS far_weight, round((yb * aa - ay * ab) / (aa * bb - ab * ab), 5) AS near_weight FROM r")
+def ridge_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's signals predicted from their two last values: the ridge solution, regularised by a thousandth of the mean diagonal."""
+    g = _gram(spark, d).withColumn("w", 0.001 * (F.col("aa") + F.col("bb")) / 2)
+    aa, bb, ab, ay, yb = F.col("aa") + F.col("w"), F.col("bb") + F.col("w"), F.col("ab"), F.col("ay"), F.col("yb")
+    return g.select("label", F.round((ay * bb - yb * ab) / (aa * bb - ab * ab), 5).alias("far_weight"), F.round((yb * aa - ay * ab) / (aa * bb - ab * ab), 5).alias("near_weight"))
+
+
+@query("SELECT floor(peak / 0.05)::BIGINT AS peak_bin, floor(20 * log10(rms) / 3)::BIGINT AS level_bin, count(*) AS n FROM audio_qc WHERE isfinite(peak) AND rms > 0 AND isfinite(rms) GROUP BY ALL")
+def density_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Two-dimensional density: peaks by 0.05, levels by 3 dB."""
+    q = table(spark, d, "audio_qc").filter((F.abs("peak") < float("inf")) & (F.col("rms") > 0) & (F.col("rms") < float("inf")))
+    return q.groupBy(F.floor(F.col("peak") / 0.05).alias("peak_bin"), F.floor(20 * F.log10("rms") / 3).alias("level_bin")).agg(F.count("*").alias("n"))
 
 
 @query(_M + f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import or_
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonarloom.functions.text import compared, compared_sql
-from sonarloom.operators.relational import channel_action, dedupe_latest, file_id, iqr_fence, output_path
-from sonarloom.plans.base import MANIFEST, SIGNALS, manifest, registry, signals
-from sonarloom.session import table
+from sonarloom.operators import sequence as seq
+from sonarloom.operators.relational import (
+    channel_action, complete_map, dedupe_latest, file_id, in_order_of, iqr_fence, join_one_to_one, lookup_default, lookup_strict, output_path, short_name, slotted,
+)
+from sonarloom.plans.base import MANIFEST, SIGNALS, category, category_sql, envelopes, manifest, registry, signals
+from sonarloom.plans.sequences import _SEGMENTS, RULES
+from sonarloom.session import shared_dir, table
+from sonarloom.sources.files import csv_scan, union_scan
 
 QUERIES, SQL, query = registry()
 _M = f"WITH {MANIFEST} "
@@ -56,10 +62,10 @@ def json_props_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query(r"SELECT DISTINCT instrument_raw, regexp_replace(instrument_raw, '\d+$', '') AS base, string_split(instrument_raw, '_')[-1] AS tail FROM source_manifest WHERE instrument_raw IS NOT NULL")
+@query(r"SELECT DISTINCT instrument_raw, regexp_replace(instrument_raw, '\d+$', '') AS base, string_split(instrument_raw, '_')[-1] AS tail, CASE WHEN starts_with(instrument_raw, 'plucked_') THEN substr(instrument_raw, 9) ELSE string_split(instrument_raw, '_')[-1] END AS short FROM source_manifest WHERE instrument_raw IS NOT NULL")
 def regexp_strip_digits(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("instrument_raw")
-    return table(spark, d, "source_manifest").filter(raw.isNotNull()).select("instrument_raw", F.regexp_replace(raw, r"\d+$", "").alias("base"), F.element_at(F.split(raw, "_"), -1).alias("tail")).distinct()
+    return table(spark, d, "source_manifest").filter(raw.isNotNull()).select("instrument_raw", F.regexp_replace(raw, r"\d+$", "").alias("base"), F.element_at(F.split(raw, "_"), -1).alias("tail"), short_name(raw, F.lit("plucked_")).alias("short")).distinct()
 
 
 @query(f"SELECT file_id, {compared_sql('dataset')} AS dataset, role FROM source_manifest WHERE ({compared_sql('dataset')} = '71470' AND role = 'clip') OR ({compared_sql('dataset')} = '71955' AND role = 'stem')")
@@ -123,25 +129,92 @@ def class_order(spark: SparkSession, d: str) -> DataFrame:
 
 # Joins.
 
-_QC = f"qc AS (SELECT {compared_sql('path')} AS k, max(duration) AS duration, count(*) AS n FROM audio_qc GROUP BY 1)"
-_FILES = f"f AS (SELECT {compared_sql('file_id')} AS fid, max({compared_sql('out_path')}) AS k FROM source_manifest GROUP BY 1)"
+_FILES = f"f AS (SELECT {compared_sql('file_id')} AS file_id, max({compared_sql('out_path')}) AS path FROM source_manifest WHERE out_path IS NOT NULL GROUP BY 1)"
+_CHECKS = f"qc AS (SELECT {compared_sql('path')} AS path, arg_max(round(duration, 3), k) AS duration, arg_max(channels, k) AS channels FROM (SELECT *, concat_ws('|', checked_at::VARCHAR, coalesce(round(duration, 3), -1)::DECIMAL(12,3)::VARCHAR, coalesce(channels, -1)::VARCHAR) AS k FROM audio_qc) GROUP BY 1)"
 
 
-@query(f"WITH {_QC}, {_FILES} SELECT f.fid AS file_id, coalesce(qc.n, 0) AS n_checks, qc.n IS NULL AS missed FROM f LEFT JOIN qc USING (k)")
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_manifest").filter("out_path is not null").groupBy(compared(F.col("file_id")).alias("file_id")).agg(F.max(compared(F.col("out_path"))).alias("path"))
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    """The latest check of each path."""
+    duration = F.round("duration", 3)
+    order = F.concat_ws("|", F.date_format("checked_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.coalesce(duration, F.lit(-1.0)).cast("decimal(12,3)").cast("string"), F.coalesce("channels", F.lit(-1)).cast("string"))
+    return table(spark, d, "audio_qc").groupBy(compared(F.col("path")).alias("path")).agg(F.max_by(duration, order).alias("duration"), F.max_by("channels", order).alias("channels"))
+
+
+@query(f"WITH {_CHECKS}, {_FILES} SELECT file_id, path, duration, channels FROM f JOIN qc USING (path)")
 def join_one_to_one_left(spark: SparkSession, d: str) -> DataFrame:
-    qc = table(spark, d, "audio_qc").groupBy(compared(F.col("path")).alias("k")).agg(F.count("*").alias("n"))
-    files = table(spark, d, "source_manifest").groupBy(compared(F.col("file_id")).alias("file_id")).agg(F.max(compared(F.col("out_path"))).alias("k"))
-    return files.join(qc, "k", "left").select("file_id", F.coalesce("n", F.lit(0)).alias("n_checks"), F.col("n").isNull().alias("missed"))
+    """Files with their check, exactly one each: those without any are set aside first, and the join raises on any that is left or repeated."""
+    checks = _checks(spark, d)
+    checked = _files(spark, d).join(checks.select("path"), "path", "left_semi")
+    return join_one_to_one(checked, checks, ["path"]).select("file_id", "path", "duration", "channels")
+
+
+@query(f"WITH {_CHECKS}, {_FILES} SELECT file_id, coalesce(channels, 0)::INT AS channels FROM f LEFT JOIN qc USING (path)")
+def join_with_default(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its channels, 0 where no check tells."""
+    return lookup_default(_files(spark, d), _checks(spark, d).select("path", "channels"), ["path"], "channels", F.lit(0)).select("file_id", "channels")
 
 
 _TAX = f"tax AS (SELECT {compared_sql('instrument_canonical')} AS k, max(stem_group) AS tax_group, bool_or(pitched) AS tax_pitched FROM taxonomy GROUP BY 1)"
 
 
+def _taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "taxonomy").groupBy(compared(F.col("instrument_canonical")).alias("k")).agg(F.max("stem_group").alias("tax_group"), F.bool_or("pitched").alias("tax_pitched"))
+
+
 @query(f"WITH {_TAX} SELECT tax_group, tax_pitched, count(*) AS n FROM source_manifest LEFT JOIN tax ON {compared_sql('instrument_canonical')} = tax.k GROUP BY ALL")
 def taxonomy_lookup(spark: SparkSession, d: str) -> DataFrame:
-    tax = table(spark, d, "taxonomy").groupBy(compared(F.col("instrument_canonical")).alias("k")).agg(F.max("stem_group").alias("tax_group"), F.bool_or("pitched").alias("tax_pitched"))
     m = table(spark, d, "source_manifest").select(compared(F.col("instrument_canonical")).alias("k"))
-    return m.join(tax, "k", "left").groupBy("tax_group", "tax_pitched").agg(F.count("*").alias("n"))
+    return m.join(_taxonomy(spark, d), "k", "left").groupBy("tax_group", "tax_pitched").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TAX} SELECT {compared_sql('file_id')} AS file_id, tax_group, tax_pitched FROM source_manifest JOIN tax ON {compared_sql('instrument_canonical')} = tax.k GROUP BY ALL")
+def strict_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Each file with its instrument's entry; instruments that the taxonomy lacks are set aside first, and the join raises on any that is left."""
+    tax = _taxonomy(spark, d)
+    m = table(spark, d, "source_manifest").select(compared(F.col("file_id")).alias("file_id"), compared(F.col("instrument_canonical")).alias("k")).filter("k is not null").distinct()
+    known = m.join(tax.select("k"), "k", "left_semi")
+    return lookup_strict(known, tax, ["k"]).select("file_id", "tax_group", "tax_pitched").distinct()
+
+
+_GENRE = f"(SELECT {category_sql('song_id')} AS song, min({category_sql('genre_sub')}) AS genre FROM source_manifest WHERE {category_sql('song_id')} IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {category_sql('genre_sub')}) = 1 AND count({category_sql('genre_sub')}) > 0)"
+
+
+@query(f"SELECT song, genre FROM {_GENRE}")
+def complete_genre_map(spark: SparkSession, d: str) -> DataFrame:
+    """Song to genre, asserted: songs with no genre or several are set aside first, and the map raises on any that is left."""
+    m = table(spark, d, "source_manifest").select(category("song_id").alias("song"), category("genre_sub").alias("genre")).filter("song is not null")
+    single = m.groupBy("song").agg(F.count_distinct("genre").alias("n")).filter("n = 1").select("song")
+    return complete_map(m.filter("genre is not null").join(single, "song", "left_semi"), "song", "genre")
+
+
+_SLOTS = ["flute", "drone", "plucked_high", "hammered"]
+
+
+@query(f"SELECT * FROM (SELECT DISTINCT {category_sql('stem_group')} AS stem_group FROM source_manifest) LEFT JOIN (VALUES {', '.join(f'({s!r}, {i})' for i, s in enumerate(_SLOTS))}) v(stem_group, slot) USING (stem_group)")
+def class_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The output slot of each class, by its place in the list that training used."""
+    return slotted(table(spark, d, "source_manifest").select(category("stem_group").alias("stem_group")).distinct(), "stem_group", _SLOTS, list(_SLOTS))
+
+
+@query("SELECT s.file_id, first_row, count(*) AS scans FROM stem_duplicate_scan s LEFT JOIN (SELECT file_id, min(ingested_at) AS first_row FROM source_manifest GROUP BY file_id) m USING (file_id) GROUP BY ALL")
+def order_restoring_join(spark: SparkSession, d: str) -> DataFrame:
+    """Scan results, which come in any order, put back in the order in which the files were ingested."""
+    scans = table(spark, d, "stem_duplicate_scan").groupBy("file_id").agg(F.count("*").alias("scans"))
+    order = table(spark, d, "source_manifest").groupBy("file_id").agg(F.min("ingested_at").alias("first_row"))
+    return in_order_of(scans, order, ["file_id"], "first_row")
+
+
+@query("SELECT n_name, n_regionkey FROM nation")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as csv and read back with a stated schema."""
+    path = f"{shared_dir(spark)}/nation-{uuid.uuid4().hex}.csv"
+    table(spark, d, "nation").select("n_name", "n_regionkey").write.option("header", True).csv(path)
+    kind = dict(table(spark, d, "nation").dtypes)["n_regionkey"]
+    return csv_scan(spark, path, f"n_name string, n_regionkey {kind}")
 
 
 @query(f"""
@@ -163,13 +236,14 @@ def chained_inner_joins(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "stem_group").join(c, "stem_group")
 
 
-@query("""
-SELECT o_orderkey AS song, array_to_string(list_sort(list(l_returnflag || l_linestatus)), ',') AS stems, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey""")
+@query(f"""WITH {_SEGMENTS.strip()}, f AS (SELECT file_id AS series, max(out_frames) AS frames FROM source_manifest WHERE out_frames > 0 GROUP BY file_id)
+SELECT series AS file_id, frames, len(list(a)) AS n_segments, array_to_string(list_sort(list(lpad(a::VARCHAR, 2, '0') || '-' || lpad(b::VARCHAR, 2, '0'))), ',') AS segments FROM f JOIN seg USING (series) GROUP BY series, frames""")
 def nest_join(spark: SparkSession, d: str) -> DataFrame:
-    """Members nested under their owner; owners without any are dropped."""
-    orders, items = table(spark, d, "orders").filter("o_orderstatus = 'F'"), table(spark, d, "lineitem")
-    nested = items.groupBy(F.col("l_orderkey").alias("song")).agg(F.sort_array(F.collect_list(F.concat("l_returnflag", "l_linestatus"))).alias("stems"))
-    return nested.join(orders.select(F.col("o_orderkey").alias("song")), "song", "left_semi").select("song", F.array_join("stems", ",").alias("stems"), F.size("stems").cast("long").alias("n"))
+    """Files with their segments nested as structs, shown as text; files without any are dropped."""
+    files = table(spark, d, "source_manifest").filter("out_frames > 0").groupBy(F.col("file_id").alias("series")).agg(F.max("out_frames").alias("frames"))
+    nested = seq.segments(envelopes(spark, d), RULES).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("segments"))
+    shown = F.transform("segments", lambda s: F.concat(F.lpad(s["start"].cast("string"), 2, "0"), F.lit("-"), F.lpad(s["end"].cast("string"), 2, "0")))
+    return files.join(nested, "series").select(F.col("series").alias("file_id"), "frames", F.size("segments").cast("long").alias("n_segments"), F.array_join(shown, ",").alias("segments"))
 
 
 @query("""
@@ -189,13 +263,13 @@ def anti_join_unmapped(spark: SparkSession, d: str) -> DataFrame:
     return used.join(known, "instrument", "left_anti")
 
 
-@query(f"WITH {SIGNALS} SELECT a.vec_id, (i)::INT AS pos, a.x[i + 1] AS left_x, b.x[i + 1] AS right_x FROM s a JOIN s b ON b.vec_id = a.vec_id + 1, unnest(range(len(a.x))) t(i) WHERE a.vec_id % 2 = 0 AND a.label = b.label")
+@query(f"WITH {SIGNALS} SELECT a.vec_id, (i)::INT AS pos, a.x[i + 1] AS left_x, b.x[i + 1] AS right_x FROM s a JOIN s b ON b.vec_id = a.vec_id + 1, unnest(range(len(a.x))) t(i)")
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    """Two lists joined by position; both must have the same length."""
+    """Each list joined by position with its successor's; both must have the same length."""
     s = signals(spark, d)
-    a, b = s.filter("vec_id % 2 = 0"), s.select((F.col("vec_id") - 1).alias("vec_id"), "label", F.col("x").alias("y"))
-    both = a.join(b, ["vec_id", "label"]).withColumn("x", F.when(F.size("x") == F.size("y"), F.col("x")).otherwise(F.raise_error(F.lit("lists of different length")).cast("array<double>")))
-    return both.select("vec_id", F.posexplode(F.arrays_zip("x", "y")).alias("pos", "z")).select("vec_id", "pos", F.col("z.x").alias("left_x"), F.col("z.y").alias("right_x"))
+    both = s.join(s.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    checked = both.withColumn("x", F.when(F.size("x") == F.size("y"), F.col("x")).otherwise(F.raise_error(F.lit("lists of different length")).cast("array<double>")))
+    return checked.select("vec_id", F.posexplode(F.arrays_zip("x", "y")).alias("pos", "z")).select("vec_id", "pos", F.col("z.x").alias("left_x"), F.col("z.y").alias("right_x"))
 
 
 @query("SELECT t AS threshold, count(*) AS n FROM events CROSS JOIN (SELECT unnest([50.0, 100.0, 250.0])::DOUBLE AS t) WHERE value < t GROUP BY t")
@@ -245,9 +319,10 @@ def latest_per_file(spark: SparkSession, d: str) -> DataFrame:
 # Set operations.
 
 
-@query("SELECT file_id FROM activity_index UNION ALL SELECT file_id FROM stem_duplicate_scan")
+@query("SELECT file_id, n_blocks, role FROM (SELECT file_id, n_blocks, NULL::VARCHAR AS role FROM activity_index UNION ALL SELECT file_id, NULL, role FROM stem_duplicate_scan)")
 def union_all(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "activity_index").select("file_id").unionByName(table(spark, d, "stem_duplicate_scan").select("file_id"))
+    """Two tables scanned as one; what one lacks is null there."""
+    return union_scan(spark, [f"{d}/activity_index.parquet", f"{d}/stem_duplicate_scan.parquet"]).select("file_id", "n_blocks", "role")
 
 
 @query("SELECT song_id, min(genre_sub) AS genre FROM stem_duplicate_scan WHERE song_id IS NOT NULL AND genre_sub IS NOT NULL GROUP BY song_id")

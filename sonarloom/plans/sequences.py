@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonarloom.operators import sequence as seq
-from sonarloom.plans.base import ENVELOPES, envelopes, registry
+from sonarloom.operators.aggregate import exact_percentiles
+from sonarloom.operators.history import trends
+from sonarloom.plans.base import ENVELOPES, envelopes, finite, registry
 from sonarloom.session import cut, table
 
 QUERIES, SQL, query = registry()
@@ -67,11 +69,14 @@ q AS (SELECT class, quantile_cont(gap, 0.5) AS gap_p50, quantile_cont(gap, 0.95)
 SELECT class, segments, round(p25, 4) AS seg_p25, round(p50, 4) AS seg_p50, round(p75, 4) AS seg_p75, round(gap_p50, 4) AS gap_p50, round(gap_p95, 4) AS gap_p95 FROM s LEFT JOIN q USING (class)""")
 def gap_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per class percentiles of segment and gap lengths; without gaps they are null."""
-    found, cls = cut(seq.segments(envelopes(spark, d), RULES), "segments"), classes(spark, d).filter("class is not null")
-    lengths = found.withColumn("len", F.col("end") - F.col("start")).join(cls, "series").groupBy("class").agg(F.count("*").alias("segments"), F.percentile("len", [0.25, 0.5, 0.75]).alias("p"))
-    gaps = seq.gaps(found).join(cls, "series").groupBy("class").agg(F.percentile("blocks", [0.5, 0.95]).alias("g"))
-    shown = {"seg_p25": F.col("p")[0], "seg_p50": F.col("p")[1], "seg_p75": F.col("p")[2], "gap_p50": F.col("g")[0], "gap_p95": F.col("g")[1]}
-    return lengths.join(gaps, "class", "left").select("class", "segments", *[F.round(c, 4).alias(n) for n, c in shown.items()])
+    found = cut(seq.segments(envelopes(spark, d), RULES), "segments")
+    cls = cut(classes(spark, d).filter("class is not null"), "classes")
+    lengths = found.join(cls, "series").select("class", (F.col("end") - F.col("start")).alias("len"))
+    gaps = seq.gaps(found).join(cls, "series")
+    counted = exact_percentiles(lengths, ["class"], F.col("len"), {"seg_p25": 0.25, "seg_p50": 0.5, "seg_p75": 0.75}, "segments")
+    silent = exact_percentiles(gaps, ["class"], F.col("blocks"), {"gap_p50": 0.5, "gap_p95": 0.95}).drop("_n")
+    shown = ("seg_p25", "seg_p50", "seg_p75", "gap_p50", "gap_p95")
+    return counted.join(silent, "class", "left").select("class", "segments", *[F.round(n, 4).alias(n) for n in shown])
 
 
 _COVERAGE = f"""{_SEGMENTS}, {_CLASS_OF},
@@ -85,10 +90,13 @@ cov AS (SELECT wins.song, window_len, i::INT AS window_idx, c.class, count(act.b
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
-    env, cls = envelopes(spark, d), classes(spark, d).filter("song is not null")
+    # One scan: a file's levels, class, song and length come together and are written once.
+    scan, levels = table(spark, d, "stem_duplicate_scan"), F.col("excerpt_levels")
+    files = cut(scan.groupBy(F.col("file_id").alias("series")).agg(F.max_by(levels, F.when(levels.isNotNull(), F.struct("scanned_at", levels))).alias("levels"), F.max("stem_class").alias("class"), F.max("song_id").alias("song")).filter("levels is not null and song is not null"), "files")
+    env = files.filter("class is not null").select("series", F.posexplode("levels").alias("block", "x")).select("series", "block", finite(F.col("x").cast("double")).alias("db"))
     # Read twice below, and small beside the blocks: written once.
-    members = cut(seq.segments(env, RULES).join(cls.filter("class is not null"), "series").select("song", "class", "start", "end"), "members")
-    lengths = env.groupBy("series").agg((F.max("block") + 1).alias("n")).join(cls, "series").groupBy("song").agg(F.min("n").alias("n"))
+    members = cut(seq.segments(env, RULES).join(files.select("series", "song", "class"), "series").select("song", "class", "start", "end"), "members")
+    lengths = files.filter(F.size("levels") > 0).groupBy("song").agg(F.min(F.size("levels")).alias("n"))
     return seq.coverage(members, lengths, WINDOWS)
 
 
@@ -125,18 +133,22 @@ def running_offset(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)).alias("offset_q"))
 
 
-@query("SELECT 'x' AS series, 0::BIGINT AS raw, 0::BIGINT AS allowed, 0::BIGINT AS covered WHERE false")
+@query(f"""WITH {_SEGMENTS}, raw AS (SELECT series, count(*) FILTER (db >= {RULES.open_db} AND isfinite(db)) AS raw FROM env GROUP BY series),
+short AS (SELECT series, sum(b - a)::BIGINT AS allowed FROM runs WHERE b - a < {RULES.min_length} GROUP BY series), c AS (SELECT series, sum(b - a)::BIGINT AS covered FROM seg GROUP BY series)
+SELECT series, raw, coalesce(allowed, 0) AS allowed, coalesce(covered, 0) AS covered, true AS ok FROM raw LEFT JOIN short USING (series) LEFT JOIN c USING (series)""")
 def segment_invariant(spark: SparkSession, d: str) -> DataFrame:
-    """Segments never cover less than what is open; no row breaks this."""
-    return seq.undershoot(envelopes(spark, d), RULES)
+    """What each series has open, what short runs may cost, and what its segments cover: never less than the first less the second."""
+    return seq.cover_balance(envelopes(spark, d), RULES)
 
 
 @query("""
-WITH m AS (SELECT strftime(scan_date, '%Y-%m') AS epoch, avg(seg_p50_s) AS score FROM activity_summary WHERE isfinite(seg_p50_s) GROUP BY 1),
-d AS (SELECT epoch, round(score, 4) AS score, round(score - lag(score) OVER (ORDER BY epoch), 4) AS delta, round(max(score) OVER (ORDER BY epoch), 4) AS best FROM m)
-SELECT epoch, score, delta, best FROM d""")
+WITH m AS (SELECT scan_date::VARCHAR AS epoch, avg(seg_p50_s) AS score FROM activity_summary WHERE isfinite(seg_p50_s) GROUP BY 1),
+d AS (SELECT *, row_number() OVER o AS k, score - lag(score) OVER o AS delta, max(score) OVER o AS best FROM m WINDOW o AS (ORDER BY epoch)),
+s AS (SELECT *, sum(CASE WHEN score = best THEN 0 ELSE 1 END) OVER (ORDER BY epoch) AS lost FROM d)
+SELECT epoch, round(score, 4) AS score, round(delta, 4) AS delta, round(best, 4) AS best, score = best AS is_best, (CASE WHEN score = best THEN row_number() OVER (PARTITION BY lost, score = best ORDER BY epoch) ELSE 0 END)::INT AS streak,
+  round(regr_slope(score, k) OVER (ORDER BY epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS slope FROM s""")
 def evaluation_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """Change from one evaluation to the next and the best so far. Few rows: one per month."""
-    months = table(spark, d, "activity_summary").filter(F.abs("seg_p50_s") < float("inf")).groupBy(F.date_format("scan_date", "yyyy-MM").alias("epoch")).agg(F.avg("seg_p50_s").alias("score"))
-    w = Window.partitionBy().orderBy("epoch")
-    return months.select("epoch", F.round("score", 4).alias("score"), F.round(F.col("score") - F.lag("score").over(w), 4).alias("delta"), F.round(F.max("score").over(w), 4).alias("best"))
+    """From one day's mean to the next: change, the best so far, how many bests in a row, and the slope over the last five."""
+    days = table(spark, d, "activity_summary").filter(F.abs("seg_p50_s") < float("inf")).groupBy(F.col("scan_date").cast("string").alias("epoch")).agg(F.avg("seg_p50_s").alias("score"))
+    out = trends(days, "epoch", "score", 5)
+    return out.select("epoch", *[F.round(c, 4).alias(c) for c in ("score", "delta", "best")], "is_best", "streak", F.round("slope", 4).alias("slope"))

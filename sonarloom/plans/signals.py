@@ -9,6 +9,7 @@ from sonarloom.functions import signal as sig
 from sonarloom.operators.distribution import gaussian_log_odds, ks_two_sample as ks
 from sonarloom.operators.prefix import ordered_rank
 from sonarloom.operators.sequence import loudest_window as loudest
+from sonarloom.operators.mixture import trimmed_sum
 from sonarloom.plans.base import SIGNALS, registry, signals
 from sonarloom.session import table
 
@@ -24,6 +25,33 @@ def signal_qc(spark: SparkSession, d: str) -> DataFrame:
     return signals(spark, d).select("vec_id", F.round(sig.peak(x), 6).alias("peak"), F.round(sig.rms(x), 6).alias("rms"), F.round(sig.mean(x), 6).alias("dc"), F.round(sig.share_over(x, 0.2), 6).alias("clip_frac"), (F.size(F.array_distinct(x)) > 1).alias("varies"))
 
 
+_ALIGNED = "list_transform(range(1, len(x) + 1), lambda i: {0})"
+
+
+@query(f"""WITH {SIGNALS.strip()}, p AS (SELECT a.vec_id, a.x AS x, b.x AS y FROM s a JOIN s b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(list_max({_ALIGNED.format('abs(x[i] - y[i])')}), 6) AS lr_max_diff, x = y AS lr_identical, list_bool_and({_ALIGNED.format('abs(x[i] - y[i]) <= 0.05 + 0.1 * abs(y[i])')}) AS lr_close,
+  round(list_sum({_ALIGNED.format('(x[i] - list_avg(x)) * (y[i] - list_avg(y))')}) / sqrt(list_sum({_ALIGNED.format('(x[i] - list_avg(x)) ^ 2')}) * list_sum({_ALIGNED.format('(y[i] - list_avg(y)) ^ 2')})), 5) AS lr_corr FROM p""")
+def stereo_qc(spark: SparkSession, d: str) -> DataFrame:
+    """What the two channels of a signal have in common; neighbours stand for left and right."""
+    x, y = F.col("x"), F.col("y")
+    return _paired(spark, d).select("vec_id", F.round(sig.peak(F.zip_with(x, y, lambda a, b: a - b)), 6).alias("lr_max_diff"), (x == y).alias("lr_identical"), sig.close_to(x, y, 0.05, 0.1).alias("lr_close"), F.round(sig.correlation(x, y), 5).alias("lr_corr"))
+
+
+@query(_S + f"""SELECT vec_id, round({_PEAK.replace('x,', '(list_filter(x, lambda v, i: (i - 1) % 4 = 0)),')}, 6) AS decimated_peak, round(list_sum(x[(len(x) - 10) // 2 + 1 : (len(x) - 10) // 2 + 10]), 5) AS centre_sum, round(x[len(x)], 6) AS swapped_first, 2::INT AS channels FROM s""")
+def array_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth value, ten around the middle, a mono signal on two channels, and channels swapped."""
+    x = F.col("x")
+    stereo = sig.to_stereo(sig.picked_channel(F.array(x, F.reverse(x)), 0))
+    return signals(spark, d).select("vec_id", F.round(sig.peak(sig.decimated(x, 4)), 6).alias("decimated_peak"), F.round(sig.mean(sig.centred(x, 10)) * 10, 5).alias("centre_sum"), F.round(F.get(F.get(sig.swapped(F.array(x, F.reverse(x))), F.lit(0)), F.lit(0)), 6).alias("swapped_first"), F.size(stereo).alias("channels"))
+
+
+@query(_S + f"""SELECT vec_id, (u.b)::INT AS block, round(20 * log10(greatest(1e-12, sqrt(list_sum(list_transform(range(b * 8 + 1, b * 8 + 9), lambda i: ((x[i] + x[len(x) + 1 - i]) / 2) ^ 2)) / 8))), 4) AS db FROM s, unnest(range(len(x) // 8)) u(b)""")
+def mono_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of tenths of a second of two channels' mean, at 80 values a second; a signal and its reverse are the channels."""
+    channels = F.array(F.col("x"), F.reverse("x"))
+    return signals(spark, d).select("vec_id", F.posexplode(sig.mono_envelope_db(channels, 80)).alias("block", "db")).select("vec_id", "block", F.round("db", 4).alias("db"))
+
+
 @query(_S + f"SELECT vec_id, round(20 * log10({_PEAK} / {_RMS}), 4) AS crest, round(greatest(-120, 20 * log10({_RMS})), 4) AS level FROM s WHERE {_PEAK} > 0")
 def crest_db(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
@@ -93,13 +121,26 @@ def class_sum_mixture(spark: SparkSession, d: str) -> DataFrame:
     return targets.groupBy("pos").agg(F.round(F.sum("target"), 4).alias("mixture"), F.round(F.max(F.abs("target")), 4).alias("peak"), F.count("*").alias("classes"))
 
 
-@query("SELECT 0::INT AS pos, 0::DOUBLE AS gap WHERE false")
+@query(_S + """
+, l AS (SELECT label, unnest(range(len(x)))::INT AS pos, unnest(x) AS v FROM s), m AS (SELECT pos, sum(v) AS mixture FROM l GROUP BY pos), t AS (SELECT pos, sum(t) AS targets FROM (SELECT label, pos, sum(v) AS t FROM l GROUP BY ALL) GROUP BY pos)
+SELECT pos, round(mixture, 4) AS mixture, round(targets, 4) AS targets, true AS same FROM m JOIN t USING (pos)""")
 def class_sum_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Positions where the mixture differs from the sum of its targets: none."""
+    """At every position the mixture of all members, the sum of the classes' targets, and whether they agree within 1e-4."""
     samples = signals(spark, d).select("label", F.posexplode("x").alias("pos", "v"))
     mixture = samples.groupBy("pos").agg(F.sum("v").alias("mixture"))
     targets = samples.groupBy("label", "pos").agg(F.sum("v").alias("t")).groupBy("pos").agg(F.sum("t").alias("targets"))
-    return mixture.join(targets, "pos").select("pos", F.abs(F.col("mixture") - F.col("targets")).alias("gap")).filter("gap > 1e-4")
+    return mixture.join(targets, "pos").select("pos", F.round("mixture", 4).alias("mixture"), F.round("targets", 4).alias("targets"), (F.abs(F.col("mixture") - F.col("targets")) <= 1e-4).alias("same"))
+
+
+@query(_S + """
+, n AS (SELECT vec_id, label, x[1 : len(x) - vec_id % 5] AS x FROM s), k AS (SELECT label, min(len(x)) AS k FROM n GROUP BY label),
+l AS (SELECT label, vec_id, unnest(range(len(x)))::INT AS pos, unnest(x) AS v FROM n), t AS (SELECT label, pos, sum(v) AS v FROM l JOIN k USING (label) WHERE pos < k GROUP BY ALL), p AS (SELECT label, max(abs(v)) AS peak, max(pos) + 1 AS kept FROM t GROUP BY label)
+SELECT label, pos, kept, round(v * CASE WHEN peak > 0.99 THEN 0.99 / peak ELSE 1 END, 4) AS target FROM t JOIN p USING (label)""")
+def trimmed_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Members of uneven length summed by class, trimmed to the shortest, and brought under 0.99 by one gain for the whole class."""
+    x = F.slice("x", 1, (F.size("x") - F.col("vec_id") % 5).cast("int"))
+    uneven = signals(spark, d).select(F.col("label").alias("song"), x.alias("x"))
+    return trimmed_sum(uneven, ["song"], 0.99).select(F.col("song").alias("label"), "pos", "kept", F.round("v", 4).alias("target"))
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or "cluster" in master:
             raise ValueError(f"set {_CHECKPOINT} to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sonarloom-"))
+        own = tempfile.mkdtemp(prefix="sonarloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir("file://" + own)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -63,12 +67,3 @@ def forget(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores, for work that is heavy per row.
-
-    A table of many files or row groups has them already and is left alone; one small file would keep a single core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

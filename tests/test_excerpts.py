@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sonarloom.operators import sequence as seq
 from sonarloom.operators.sampling import drawn_segment
 from sonarloom.plans.base import envelopes
-from sonarloom.plans.samplers import RATE, WINDOW_S, segment_excerpt_plan
+from sonarloom.plans.samplers import RATE, WINDOW_S, activity_excerpt_plan
 from sonarloom.plans.sequences import BLOCK_S, RULES
 from sonarloom.session import table
 
@@ -17,7 +17,7 @@ def test_segments_are_drawn_by_length(spark):
 
 
 def test_excerpts_touch_activity(spark, sf):
-    plan = {r["file_id"]: r["start_frame"] / RATE for r in segment_excerpt_plan(spark, sf).collect()}
+    plan = {r["file_id"]: r["start_frame"] / RATE for r in activity_excerpt_plan(spark, sf).collect()}
     frames = dict(table(spark, sf, "source_manifest").filter("out_frames > 0").groupBy("file_id").agg(F.max("out_frames")).collect())
     active: dict = {}
     for r in seq.segments(envelopes(spark, sf), RULES).collect():

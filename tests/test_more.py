@@ -83,7 +83,7 @@ def test_ridge(spark):
     x = rng.normal(size=(200, 2))
     y = x @ [2.0, -1.0]
     df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)] + [(1.0, None, 3.0)], "a double, b double, y double")
-    got = ridge(df, ["a", "b"], "y")
+    got = ridge(df, ["a", "b"], "y", 0.0)
     assert got == pytest.approx({"a": 2.0, "b": -1.0})
     assert ridge(df.limit(0), ["a"], "y") == {"a": 0.0}
 

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from sonarloom.session import cut, forget, shared_dir, spread
+from sonarloom.session import cut, forget, shared_dir
 
 
 def test_cut_writes_to_the_shared_folder_and_forgets(spark):
@@ -39,9 +39,3 @@ def test_only_local_sessions_get_their_own():
     for master in ("spark://x", "yarn", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError):
             shared_dir(Session(None, master))
-
-
-def test_spread(spark):
-    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(10).repartition(9)
-    assert spread(many) is many
