@@ -110,7 +110,8 @@ def dangling_references(refs: DataFrame, parents: DataFrame, removed: DataFrame)
     names = refs.drop("reason").columns
     refs = refs.select(*names).filter(F.col("key").isNotNull())
     keys = cut(refs.groupBy("target", "key").agg(F.min("own_time").alias("since"), F.count("*").alias("n")), "referred")
-    bad = cut(verdicts(keys.drop("n"), parent_state(parents, removed)), "verdicts")
+    state = cut(parent_state(parents, removed), "parent-state")  # read for the runs and for their members in doubt
+    bad = cut(verdicts(keys.drop("n"), state), "verdicts")
     hot = hot_keys(keys, ["target", "key"]).join(bad, ["target", "key"], "left").select("target", "key", F.lit(True).alias("_hot"), F.col("reason").alias("_hot_reason"), F.col("arrived").alias("_hot_arrived"))
     marked = refs.join(F.broadcast(hot), ["target", "key"], "left").filter("_hot is null or _hot_reason is not null")
     spread = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*names), F.lit(1 << 20))).otherwise(0)
