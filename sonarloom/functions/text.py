@@ -23,9 +23,14 @@ def _nfc(text: pa.Array) -> pa.Array:
     return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
 
+def ascii_only(text: Column) -> Column:
+    """Whether each character is one byte: counting is cheaper than a pattern."""
+    return F.octet_length(text) == F.length(text)
+
+
 def nfc(text: Column) -> Column:
     """Unicode NFC. Only texts that may change are sent to Arrow. Null stays null."""
-    return F.coalesce(_nfc(F.when(text.rlike(_NOT_SURELY_NFC), text)), text)
+    return F.coalesce(_nfc(F.when(~ascii_only(text) & text.rlike(_NOT_SURELY_NFC), text)), text)
 
 
 def compared(text: Column) -> Column:

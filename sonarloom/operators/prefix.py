@@ -34,8 +34,6 @@ def running_sum(df: DataFrame, group: list[str], order: str, ties: list[str], we
     buckets = max(1, -(-rows // BUCKET))
     df = df.withColumn("_w", weight).withColumn("_b", F.floor(F.col(order) * buckets).cast("int"))
     within = Window.partitionBy(*group, "_b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    if buckets == 1:
-        return df.withColumn(total, F.coalesce(F.sum("_w").over(within), F.lit(0))).drop("_w", "_b")
     sums = df.groupBy(*group, "_b").agg(F.sum("_w").alias("_s"))
     across = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_o", F.coalesce(F.sum("_s").over(across), F.lit(0))).select(*group, "_b", "_o")
