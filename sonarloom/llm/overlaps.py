@@ -103,6 +103,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     middle = steps[:, LEADING]
     short = np.array([len(band) < most for band in BANDS])[bucket // CELLS**LEADING]
     last = np.where(short, middle, steps[:, -1])
+    own = np.ascontiguousarray(own.T)
     # Within a bucket, training rows lie by the cell of the middle step, then by the last step:
     # the partners of an evaluation row are one stretch for each of the two cells it may find them in.
     _, place = np.unique(np.stack([bucket, rows["salt"].to_numpy()], 1), axis=0, return_inverse=True)
@@ -130,14 +131,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = count[i:j]
             a, t = np.repeat(probing[i:j], n), train[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[i:j], n)]
             i = j
-            off = own[a] - own[t]
-            most_off, least_off = off.max(1), off.min(1)
-            keep = np.flatnonzero(most_off - least_off <= 2 * TOLERANCE + slack)  # the band drops nearly all
+            # Position by position, as most pairs leave the band's span early.
+            most_off = least_off = own[0][a] - own[0][t]
+            for level in own[1:]:
+                off = level[a] - level[t]
+                most_off, least_off = np.maximum(most_off, off), np.minimum(least_off, off)
+                keep = np.flatnonzero(most_off - least_off <= 2 * TOLERANCE + slack)
+                a, t, most_off, least_off = a[keep], t[keep], most_off[keep], least_off[keep]
             # All clean positions lie within one span with the band's: of the rest, this drops nearly all again.
-            all_off = levels[a[keep]] - levels[t[keep]]
+            all_off = levels[a] - levels[t]
             with np.errstate(invalid="ignore"):
-                inside = (all_off >= most_off[keep, None] - (2 * TOLERANCE + slack)) & (all_off <= least_off[keep, None] + (2 * TOLERANCE + slack))
-            keep = keep[inside.sum(1) >= NEED]
+                inside = (all_off >= most_off[:, None] - (2 * TOLERANCE + slack)) & (all_off <= least_off[:, None] + (2 * TOLERANCE + slack))
+            keep = np.flatnonzero(inside.sum(1) >= NEED)
             keep = keep[near(levels[a[keep]].astype(np.float64) - levels[t[keep]])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]], pa.int64()), pa.array(ids[t[keep]], pa.int64())], names=["a", "b"])
 
