@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sonarloom.functions.text import ascii_only
 from sonarloom.operators.skew import for_parts, hot_keys, in_parts, skew_join
 from sonarloom.session import cut
 
@@ -133,17 +134,14 @@ def _form_md5(text: pa.Array) -> pa.Array:
     return pa.array([x if x is None else hashlib.md5(consistent(x).encode("utf-8", "surrogatepass")).hexdigest() for x in text.to_pylist()], pa.string())
 
 
-_NOT_ASCII = r"[^\x00-\x7F]"
-
-
 def consistent_form(text: Column) -> Column:
     """The consistent form of a text column. ASCII texts are theirs already and stay in the JVM. Null stays null."""
-    return F.coalesce(_form(F.when(text.rlike(_NOT_ASCII), text)), text)
+    return F.coalesce(_form(F.when(~ascii_only(text), text)), text)
 
 
 def form_digest(text: Column) -> Column:
     """md5 of the consistent form, without moving the form itself."""
-    return F.coalesce(_form_md5(F.when(text.rlike(_NOT_ASCII), text)), F.md5(text))
+    return F.coalesce(_form_md5(F.when(~ascii_only(text), text)), F.md5(text))
 
 
 def same_reading(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
