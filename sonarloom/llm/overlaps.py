@@ -175,13 +175,13 @@ def cross_split_overlaps(scan: DataFrame) -> DataFrame:
     excerpts form a class: buckets and verification see one of each class, and only confirmed
     links are expanded, copies without number over parts. Null digests equal nothing. An empty scan gives no pairs.
     """
-    rows = cut(scan_rows(scan).distinct(), "scan-rows")
+    rows = cut(scan_rows(scan), "scan-rows")
     vectors = rows.filter(F.col("levels").isNotNull()).groupBy("side", "levels").agg(F.min(F.xxhash64("side", "levels")).alias("class"))
     linked = near_classes(vectors)
     # m stands for the digest where only its crowd matters.
     keyed = rows.withColumn("class", F.when(F.col("levels").isNotNull(), F.xxhash64("side", "levels"))).withColumn("m", F.when(F.col("md5").isNotNull(), F.xxhash64("md5"))).drop("levels")
     hot = cut(hot_keys(cut(keyed.select(F.explode(F.array_compact(F.array("m", "class"))).alias("k")).groupBy("k").agg(F.count("*").alias("n")), "copies"), ["k"]), "hot-copies")
-    evals = keyed.filter(F.col("side") == "eval").select(F.col("file_id").alias("eval_file"), "split", "genre", "md5", "m", F.col("class").alias("a"))
+    evals = keyed.filter(F.col("side") == "eval").select(F.col("file_id").alias("eval_file"), "split", "genre", "md5", "m", F.col("class").alias("a")).distinct()
     trains = keyed.filter(F.col("side") == "train").select(F.col("file_id").alias("train_file"), "md5", "m", F.col("class").alias("b")).distinct()
 
     def named(k: str) -> DataFrame:
