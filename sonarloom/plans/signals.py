@@ -155,11 +155,13 @@ def pearson_guarded(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH v AS (SELECT (role = 'clip') AS first, peak AS x FROM audio_qc WHERE isfinite(peak) AND role IN ('clip', 'stem')),
 g AS (SELECT x, count(*) FILTER (first) AS a, count(*) FILTER (NOT first) AS b FROM v GROUP BY x),
-c AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) / sum(b) OVER () AS fb FROM g)
-SELECT round(max(abs(fa - fb)), 6) AS statistic, (SELECT count(*) FROM v WHERE first) AS n_a, (SELECT count(*) FROM v WHERE NOT first) AS n_b FROM c""")
+c AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) / sum(b) OVER () AS fb FROM g),
+n AS (SELECT count(*) FILTER (first) AS n_a, count(*) FILTER (NOT first) AS n_b FROM v), k AS (SELECT max(abs(fa - fb)) AS statistic, any_value(n_a) AS n_a, any_value(n_b) AS n_b FROM c CROSS JOIN n),
+z AS (SELECT *, (sqrt(n_a * n_b / (n_a + n_b)) + 0.12 + 0.11 / sqrt(n_a * n_b / (n_a + n_b))) * statistic AS z FROM k)
+SELECT round(statistic, 6) AS statistic, round(CASE WHEN z < 1e-3 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * z * z))))) END, 6) AS p_value, n_a, n_b FROM z""")
 def ks_two_sample(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "audio_qc").filter((F.abs("peak") < float("inf")) & F.col("role").isin("clip", "stem")).select((F.col("role") == "clip").alias("first"), F.col("peak").alias("x"))
-    return ks(v).select(F.round("statistic", 6).alias("statistic"), "n_a", "n_b")
+    return ks(v).select(F.round("statistic", 6).alias("statistic"), (F.round("p_value", 6) + F.lit(0.0)).alias("p_value"), "n_a", "n_b")
 
 
 _LOGP = "-ln(2 * pi()) - 0.5 * ln({0}.vp * {0}.vr - {0}.c * {0}.c) - 0.5 * ((p - {0}.mp) ^ 2 * {0}.vr - 2 * (p - {0}.mp) * (r - {0}.mr) * {0}.c + (r - {0}.mr) ^ 2 * {0}.vp) / ({0}.vp * {0}.vr - {0}.c * {0}.c)"

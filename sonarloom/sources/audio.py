@@ -191,6 +191,25 @@ def _written(path: str) -> tuple[int, int, int] | None:
         return None
 
 
+def write(signals: DataFrame) -> DataFrame:
+    """signals: path, x (an array of channels), sr. Writes each as a 24-bit file; gives path, frames, error."""
+    schema = "path string, frames long, error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, x, rate in zip(frame["path"], frame["x"], frame["sr"]):
+                try:
+                    channels = np.stack([np.asarray(c, float) for c in x], 1)
+                    write_wav(path, channels, int(rate))
+                    out.append((path, len(channels), ""))
+                except (OSError, ValueError, TypeError) as e:
+                    out.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "frames", "error"]).astype({"frames": "Int64"})
+
+    return signals.select("path", "x", "sr").mapInPandas(run, schema)
+
+
 INGESTED = "src_path string, out_path string, src_sr int, out_sr int, src_channels int, out_channels int, src_frames long, out_frames long, out_duration double, channel_action string, resampled boolean, peak_before double, peak_after double, peak_normalized boolean, ops_applied string, cached boolean, error string"
 
 
