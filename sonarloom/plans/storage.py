@@ -86,7 +86,7 @@ def wav_excerpts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_STORED}, c AS (SELECT vec_id, list_transform(x, lambda v: v - list_avg(x)) AS x, vec_id % 2 = 0 AS one FROM q), p AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM c)
-SELECT vec_id, CASE WHEN one THEN 1 ELSE 2 END AS out_channels, len(x)::BIGINT AS out_frames, round(round(peak, 6), 4) AS peak_before, round(round(CASE WHEN peak > 0.3 THEN 0.25 ELSE peak END, 6), 4) AS peak_after, peak > 0.3 AS peak_normalized,
+SELECT vec_id, CASE WHEN one THEN 1 ELSE 2 END AS out_channels, len(x)::BIGINT AS out_frames, round(peak, 6) AS peak_before, round(CASE WHEN peak > 0.3 THEN 0.25 ELSE peak END, 6) AS peak_after, peak > 0.3 AS peak_normalized,
   CASE WHEN one THEN 'pick_channel;' ELSE '' END || 'dc' || CASE WHEN peak > 0.3 THEN ';peak' ELSE '' END AS ops_applied, false AS cached FROM p""")
 def wav_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The chain of one file: channel, offset, peak and write; every other signal keeps one channel."""
@@ -94,7 +94,7 @@ def wav_ingest(spark: SparkSession, d: str) -> DataFrame:
     tasks = files.select(F.col("path").alias("src_path"), F.concat(F.lit(folder + "/out/"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("out_path"), F.when(F.col("vec_id") % 2 == 0, "pick_channel").otherwise("keep_stereo").alias("channel_action"))
     # Written once: a second run of the same tasks would find the files there.
     done = cut(audio.ingest(tasks, RATE, ceiling=0.3, peak=0.25), "ingested").join(files.withColumnRenamed("path", "src_path"), "src_path")
-    return done.filter("error = ''").select("vec_id", "out_channels", "out_frames", F.round("peak_before", 4).alias("peak_before"), F.round("peak_after", 4).alias("peak_after"), "peak_normalized", "ops_applied", "cached")
+    return done.filter("error = ''").select("vec_id", "out_channels", "out_frames", "peak_before", "peak_after", "peak_normalized", "ops_applied", "cached")
 
 
 @query("""
