@@ -2,8 +2,8 @@
 
 1. Every text part becomes a sequence of word numbers, written once; later passes read only that.
    Words of the passages have numbers of their own, all others share OTHERS buckets of a hash.
-2. TF-IDF of passages of text, SPAN words each: those of a bounded sample of the corpus' parts and those
-   of the searched passages, each half with the same weight. Document frequencies are counted over all
+2. TF-IDF of passages of text, SPAN words each: those of all the corpus' parts and those of the searched
+   passages, each half with the same weight. Document frequencies, too, are counted over all
    parts. The leading right singular vectors come from a distributed randomised SVD: each pass
    sums, per partition, A'(A G) for a thin matrix G; what moves is columns x rank, never the matrix.
 3. Candidates are chosen by cosine in that space, over every part, at two scales. Windows of WINDOW words,
@@ -35,8 +35,6 @@ from sonarloom.session import cut
 WINDOW, SPAN, BLOCK = 7, 64, 16
 #: Columns of the latent space: words of the passages, and buckets of all other words.
 OWN, OTHERS = 2048, 2048
-#: Parts of the corpus, drawn by hash, that the space is fitted on. All parts are counted and searched.
-SAMPLE = 20_000
 #: Words of the passages that fit a broadcast; more is an error, as the query set is a stated one: give it in several calls.
 MAX_VOCABULARY = 2_000_000
 _CHUNK = 1 << 15
@@ -180,11 +178,9 @@ def document_frequency(numbers: DataFrame) -> tuple[np.ndarray, int]:
 
 def latent_space(numbers: DataFrame, passages: list[np.ndarray], rank: int = 96, oversample: int = 8, seed: int = 7) -> np.ndarray:
     """(columns, rank): inverse document frequency times the leading right singular vectors of the TF-IDF of
-    corpus and passages, by randomised subspace iteration in two passes over the sampled parts."""
+    corpus and passages, by randomised subspace iteration in two passes over all parts."""
     frequency, parts = document_frequency(numbers)
     idf = np.log((1 + parts) / (1 + frequency)) + 1
-    share = min(1.0, SAMPLE / max(parts, 1))
-    sample = numbers.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "part"), F.lit(1 << 30)) < int(share * (1 << 30))).select("ids")
     own = _columns(np.concatenate(passages))
     starts, _ = _blocks(np.cumsum([0, *[len(p) for p in passages]]), SPAN)
     norm = {}
@@ -198,7 +194,7 @@ def latent_space(numbers: DataFrame, passages: list[np.ndarray], rank: int = 96,
                     total += _product(_columns(flat), _blocks(offsets, SPAN)[0], right, idf)
             return {"total": total}
 
-        corpus, asked = _summed(sample, per_task, {"total": right.shape})["total"], _product(own, starts, right, idf)
+        corpus, asked = _summed(numbers.select("ids"), per_task, {"total": right.shape})["total"], _product(own, starts, right, idf)
         norm.setdefault("asked", np.linalg.norm(corpus) / max(np.linalg.norm(asked), 1e-12))
         return corpus + norm["asked"] * asked if np.any(corpus) else asked
 

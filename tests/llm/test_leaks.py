@@ -99,6 +99,15 @@ def test_product_and_sums(monkeypatch):
         assert np.allclose(L._sums(right.astype(np.float32), columns, starts), (a / weight) @ right, rtol=1e-3, atol=1e-4)
 
 
+def test_space_is_fitted_on_every_part(spark):
+    """40 of 40,000 parts hold a word of their own each. As many vectors as columns in use span all of them, if no part is left out."""
+    numbers = spark.range(40_000).selectExpr("id as doc_id", "0 as part", "if(id % 1000 = 0, array(-1 - int(id / 1000)), array(0, 1, 1)) as ids")
+    used = [0, 1, *range(L.OWN, L.OWN + 40)]
+    own = L.latent_space(numbers, [np.array([0], np.int32)], rank=len(used))[used]
+    idf = np.log(40_001 / (1 + np.array([39_960, 39_960, *[1] * 40]))) + 1
+    assert np.allclose(own @ own.T, np.diag(idf**2), atol=0.02)
+
+
 def test_windows_at_both_scales():
     """Windows of every part, short and long, against plain loops; long passages come in pieces."""
     r = np.random.default_rng(3)
